@@ -89,7 +89,7 @@ def with_nodes(lines: DataFrame) -> DataFrame:
 
 
 def _trees() -> Column:
-    """The trees a line is part of: its host's, the merged one of its language, and that of all pages."""
+    """The trees a line counts in: its host's, the merged one of its language, and that of all pages."""
     return F.array(F.concat(F.lit("host "), "host"), F.concat(F.lit("lang "), "lang"), F.lit("all"))
 
 
@@ -98,14 +98,14 @@ def unimportant_nodes(lines: DataFrame, least: float = LEAST_IMPORTANCE) -> Data
 
     The importance of a node is the information of meeting it on a page, -log(share of pages), in units of that of one
     page in REFERENCE_PAGES: what all pages of a site show says nothing. Pages count once a node before the shuffle, and
-    path lines don't count, for their words prove nothing. A tree keeps at most the nodes of a page over the least share.
+    path lines don't count, for their words prove nothing. The merged trees come out as one, named merged. A tree keeps at most the nodes of a page over the least share.
     """
     trees = _trees()
     counted = lines.where("style != 'path'").select(F.explode("nodes").alias("node"), "host", "lang", "page").distinct()
     by_node = counted.select(F.explode(trees).alias("tree"), "node", "page").groupBy("tree", "node").agg(F.count(F.lit(1)).alias("pages"))
     totals = lines.select("host", "lang", "page").distinct().select(F.explode(trees).alias("tree"), "page").groupBy("tree").agg(F.count(F.lit(1)).alias("all_pages"))
     importance = -F.log(F.col("pages") / F.col("all_pages")) / math.log(REFERENCE_PAGES)
-    return by_node.where(F.col("pages") >= LEAST_PAGES).join(totals, "tree").where(importance < least).select("tree", "node")
+    return by_node.where(F.col("pages") >= LEAST_PAGES).join(totals, "tree").where(importance < least).select(F.when(F.col("tree").startswith("host "), F.col("tree")).otherwise("merged").alias("tree"), "node").distinct()
 
 
 def furniture(chunks: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -118,7 +118,7 @@ def furniture(chunks: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """
     lines = checkpointed(with_nodes(page_lines(chunks)))
     low = unimportant_nodes(lines, least)
-    rows = lines.select("point_id", "line_no", "page", "chunk_index", "style", "titled", F.explode("nodes").alias("node"), _trees().alias("trees"))
+    rows = lines.select("point_id", "line_no", "page", "chunk_index", "style", "titled", F.explode("nodes").alias("node"), F.array(F.concat(F.lit("host "), "host"), F.lit("merged")).alias("trees"))
     rows = rows.select("point_id", "line_no", "style", "titled", "node", F.explode("trees").alias("tree"))
     hits = checkpointed(join_checked(rows, low, ["tree", "node"], "left_semi", salt_by="point_id").groupBy("point_id", "line_no", "style", "titled").agg(F.bool_or(~F.col("node").startswith("frame ")).alias("sure")))
     at = ["point_id", "line_no"]
