@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversation_sql, conversations, leakage, repeated_lines, tokens
+from . import boilerplate, conversation_sql, conversations, leakage, pairs, personal, repeated_lines, scanned, tokens, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,18 @@ def _p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.sound_conversations(spark, f"{d}/session_messages.parquet", table(spark, d, "sessions"))
 
 
+def _p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "feedback"))
+
+
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.noisy_lines(table(spark, d, "chunks"))
+
+
+def _p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.repaired(table(spark, d, "chunks"))
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "chunks"))
 
@@ -28,6 +40,22 @@ def _p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, d, "chunks"))
 
 
+def _p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.turn_starts(table(spark, d, "vtt_cues"), table(spark, d, "video_speakers"))
+
+
+def _p5_turns(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.turns(table(spark, d, "vtt_cues"), table(spark, d, "video_speakers"))
+
+
+def _p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture(table(spark, d, "chunks"))
+
+
+def _p6_main_body(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_body(table(spark, d, "chunks"))
+
+
 def _p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -45,16 +73,33 @@ def _p8_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.near_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_items(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def _p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found,
         "p1_conversations": _p1_conversations,
+        "p2_found": _p2_found,
+        "p3_found": _p3_found,
+        "p3_repaired": _p3_repaired,
         "p4_found": _p4_found,
         "p4_cleaned": _p4_cleaned,
+        "p5_found": _p5_found,
+        "p5_turns": _p5_turns,
+        "p6_found": _p6_found,
+        "p6_main_body": _p6_main_body,
         "p7_ids": _p7_ids,
         "p7_decoded": _p7_decoded,
         "p8_found": _p8_found,
         "p8_near": _p8_near,
+        "p9_found": _p9_found,
+        "p9_redacted": _p9_redacted,
     }
 
 
