@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a join side is broadcast after it has been counted.
@@ -78,3 +78,21 @@ def join_salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "seq") -> DataFrame:
+    """df with out: the position (from 0) of each row among those with equal keys, by order.
+
+    Rows are range-partitioned by keys and order, numbered inside each partition, and shifted by the sizes of the partitions
+    before, so a key with a third of all rows is spread over many tasks. order must settle the position of every row.
+    """
+    spread = df.repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id())
+    spread = checkpointed(spread)
+    local = Window.partitionBy("_pid", *keys).orderBy(*order)
+    sizes = spread.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    shift = sizes.select(*keys, "_pid", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    same = F.col("a._pid") == F.col("b._pid")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    rows = spread.withColumn("_i", F.row_number().over(local)).alias("a").join(shift.alias("b"), same, "left")
+    return rows.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._i") - 1 + F.col("b._before")).cast("bigint").alias(out))
