@@ -107,8 +107,8 @@ def above_floor(hits: DataFrame, floor: float) -> DataFrame:
     """Hits with the score or more; a question with none keeps its first; a floor of 0 or less keeps all."""
     if floor <= 0:
         return hits
-    best = F.max("score").over(Window.partitionBy("qid"))
-    return hits.where((F.col("score") >= floor) | ((best < floor) & (F.col("rank") == 1)))
+    best = hits.withColumn("_best", F.max("score").over(Window.partitionBy("qid")))
+    return best.where((F.col("score") >= floor) | ((F.col("_best") < floor) & (F.col("rank") == 1))).drop("_best")
 
 
 def reranked(hits: DataFrame, questions: DataFrame, rows: DataFrame, n: int, rid: str = "point_id", chars: int = 512) -> DataFrame:

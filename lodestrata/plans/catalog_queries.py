@@ -154,7 +154,7 @@ def j6_source_metadata(spark: SparkSession, d: str) -> DataFrame:
     return C.source_metadata(table(spark, d, "chunks"))
 
 
-def p14_incremental(spark: SparkSession, d: str) -> DataFrame:
+def f14_incremental(spark: SparkSession, d: str) -> DataFrame:
     return C.changed_sources(table(spark, d, "documents"), table(spark, d, "ingest_manifest")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 

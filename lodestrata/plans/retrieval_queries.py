@@ -1,4 +1,233 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""Queries of batch retrieval, evaluation and caching, with their SQL.
+
+Questions are the golden items (a fixed table) against all chunks; vectors are searched for every row whose id is divisible
+by 50, against all rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import catalog as C
+from ..operators import evaluation as E
+from ..operators import retrieval as R
+from ..session import checkpointed, table
+
+K, VECTOR_K = 20, 10
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), "question", F.lower(F.trim("vendor")).alias("wanted"))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return C.latest(table(spark, d, "chunks").select("point_id", "text", "source", "page", "vendor", "content_type", "ingested_at"))
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "embeddings")
+    return rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid"), rows
+
+
+def _term_hits(spark: SparkSession, d: str, k: int = K) -> DataFrame:
+    return checkpointed(R.term_search(_questions(spark, d), _chunks(spark, d), k))
+
+
+def _hash_hits(spark: SparkSession, d: str, k: int = K) -> DataFrame:
+    """Hits by the deterministic stand-in for embeddings of questions and texts."""
+    q = _questions(spark, d).select("qid", T.hash_vector(F.col("question")).alias("embedding"))
+    rows = _chunks(spark, d).where("text is not null").select("point_id", T.hash_vector(F.col("text")).alias("embedding"))
+    return R.nearest(q, rows, k, rid="point_id")
+
+
+def t1_vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    q, rows = _vectors(spark, d)
+    return R.nearest(q, rows, VECTOR_K)
+
+
+def r7_filtered_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Search among rows of the query's label; a label that no row has (here that of every fifth query) falls back to all."""
+    q, rows = _vectors(spark, d)
+    asked = q.withColumn("label", F.when(F.col("qid") % 250 == 0, F.lit(-1).cast("int")).otherwise(F.col("label")).cast(dict(rows.dtypes)["label"]))
+    return R.filtered_with_fallback(asked, rows, VECTOR_K)
+
+
+def t2_sharded_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best of each label (shard), then the best of all shards."""
+    q, rows = _vectors(spark, d)
+    kind = dict(rows.dtypes)["label"]
+    shards = rows.agg(F.collect_set("label").alias("labels"))
+    spread = q.select("qid", "embedding").join(F.broadcast(shards)).select("qid", "embedding", F.explode("labels").alias("label")).withColumn("label", F.col("label").cast(kind))
+    local = R.nearest(spread.select(F.concat_ws("|", "qid", "label").alias("qid"), "embedding", "label"), rows, VECTOR_K, group="label")
+    merged = local.select(F.split("qid", "[|]")[0].cast("bigint").alias("qid"), "vec_id", "score")
+    return R.ranked(merged, "score", "vec_id", VECTOR_K)
+
+
+def j9_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar earlier vector of each asked one, where the cosine is 0.2 or more."""
+    q, rows = _vectors(spark, d)
+    hits = R.nearest(q, rows, 2).where("vec_id != qid and score >= 0.2")
+    return R.ranked(hits.drop("rank"), "score", "vec_id", 1).select("qid", "vec_id", "score")
+
+
+def a17_idf(spark: SparkSession, d: str) -> DataFrame:
+    rows = _chunks(spark, d)
+    return R.idf(R.postings(rows, "point_id", "text"), rows.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def j2_term_search(spark: SparkSession, d: str) -> DataFrame:
+    return _term_hits(spark, d)
+
+
+def r1_hash_search(spark: SparkSession, d: str) -> DataFrame:
+    return _hash_hits(spark, d)
+
+
+def r2_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return R.fused([_hash_hits(spark, d), _term_hits(spark, d)])
+
+
+def r4_supplements(spark: SparkSession, d: str) -> DataFrame:
+    """Hits among all chunks, transcripts and captions, searched apart and fused."""
+    rows, q = _chunks(spark, d), _questions(spark, d)
+    parts = [rows, rows.where("content_type = 'video_transcript'"), rows.where("content_type = 'image_caption'")]
+    return R.fused([R.term_search(q, p, K) for p in parts])
+
+
+def r3_map_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Questions split into parts, searched, and the best score of each chunk kept."""
+    parts = _questions(spark, d).select("qid", F.posexplode(F.split("question", r"(?i)\s+(?:and|;)\s+")).alias("i", "question")).where("trim(question) != ''")
+    hits = R.term_search(parts.select(F.concat_ws("|", "qid", "i").alias("qid"), "question"), _chunks(spark, d), K)
+    return hits.select(F.split("qid", "[|]")[0].cast("bigint").alias("qid"), "point_id", "score").groupBy("qid", "point_id").agg(F.max("score").alias("score"))
+
+
+def t4_rerank(spark: SparkSession, d: str) -> DataFrame:
+    return R.reranked(_term_hits(spark, d), _questions(spark, d), _chunks(spark, d), 5)
+
+
+def f6_score_floor(spark: SparkSession, d: str) -> DataFrame:
+    return R.above_floor(_term_hits(spark, d), 30.0).select("qid", "point_id", "score", "rank")
+
+
+def w3_context(spark: SparkSession, d: str) -> DataFrame:
+    return R.packed_context(_term_hits(spark, d), _chunks(spark, d), 1200)
+
+
+def r14_citations(spark: SparkSession, d: str) -> DataFrame:
+    return R.cited(_term_hits(spark, d), _chunks(spark, d))
+
+
+def a12_score_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The first and the mean score of each question."""
+    return _term_hits(spark, d).groupBy("qid").agg(F.min_by("score", "rank").alias("top"), F.round(F.avg(F.coalesce("score", F.lit(0.0))), 6).alias("mean"))
+
+
+def r10_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 5 and 10 and the reciprocal rank of each golden item, a hit being a chunk of its vendor."""
+    return E.item_metrics(_term_hits(spark, d), _questions(spark, d), _chunks(spark, d))
+
+
+def a9_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return E.aggregated(r10_evaluation(spark, d))
+
+
+def a25_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics in which plain hash vectors fall behind term search by more than 0.05."""
+    q, rows = _questions(spark, d), _chunks(spark, d)
+    base = E.aggregated(E.item_metrics(_term_hits(spark, d), q, rows))
+    return E.regressions(E.aggregated(E.item_metrics(_hash_hits(spark, d), q, rows)), base, 0.05)
+
+
+def r11_ab(spark: SparkSession, d: str) -> DataFrame:
+    """Items won by term search (a) and by hash vectors (b): by recall at 5, then reciprocal rank, ties to a."""
+    q, rows = _questions(spark, d), _chunks(spark, d)
+    a, b = E.item_metrics(_term_hits(spark, d), q, rows), E.item_metrics(_hash_hits(spark, d), q, rows)
+    return E.winners(a, b)
+
+
+def a13_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Share of positive ratings and their mean by vendor-free rating rule: only -1 and 1 are valid."""
+    valid = table(spark, d, "feedback").where(F.col("rating").isin(-1, 1))
+    day = F.date_format("received_at", "yyyy-MM")
+    return valid.groupBy(day.alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("rating") > 0).cast("double")), 6).alias("pass_rate"), F.round(F.avg("rating"), 6).alias("mean"))
+
+
+def a19_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "feedback").groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
+
+
+def f26_sampling(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of the production sample: by digest, the same at any time."""
+    return table(spark, d, "feedback").where(F.col("question").isNotNull() & T.in_sample(F.col("question"), 0.05)).select("feedback_id", F.substring(F.trim("question"), 1, 240).alias("question"))
+
+
+def w18_cache_cap(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 200 entries of a cache of answers; the cap is the cache's."""
+    return table(spark, d, "feedback").where("question is not null and answer is not null").orderBy(F.desc("received_at"), F.desc("feedback_id")).limit(200).select("feedback_id", "question")
+
+
+def j15_vendor_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Vendors whose alias, squeezed to letters and digits, the squeezed question contains; the scope is set by exactly one."""
+    squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    alias = table(spark, d, "vendors").select("vendor", F.explode("aliases").alias("alias")).select("vendor", squeezed(F.col("alias")).alias("alias")).where("alias != ''").distinct()
+    known = alias.agg(F.array_sort(F.collect_list(F.struct("vendor", "alias"))).alias("known"))
+    asked = table(spark, d, "feedback").where("question is not null").select("feedback_id", squeezed(F.col("question")).alias("q"))
+    found = F.array_sort(F.array_distinct(F.transform(F.filter("known", lambda k: F.contains(F.col("q"), k["alias"])), lambda k: k["vendor"])))
+    return asked.join(F.broadcast(known)).select("feedback_id", F.array_join(found, ",").alias("vendors"), F.when(F.size(found) == 1, found[0]).alias("scope"))
+
+
+def queries() -> dict:
+    return {k: f for k, f in globals().items() if callable(f) and k.split("_")[0][-1:].isdigit() and getattr(f, "__module__", "") == __name__}
+
+
+_LATEST = "latest as (select * from (select *, row_number() over (partition by point_id order by coalesce(ingested_at, '') desc, coalesce(text, '') desc) as rn from chunks where point_id is not null) where rn = 1)"
+_TERMS = f"""{_LATEST}, qs as (select item_id as qid, question, lower(trim(vendor)) as wanted from eval_items),
+qt as (select qid, term, count(*) as qtf from (select qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as term from qs) group by 1, 2),
+ct as (select point_id, term, count(*) as tf from (select point_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from latest) group by 1, 2),
+idf as (select term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from (select term, cast(count(*) as double) as df from ct group by 1), (select cast(count(*) as double) as n from latest)),
+scored as (select qid, point_id, round(sum(qtf * tf * idf), 6) as score from qt join ct using (term) join idf using (term) group by 1, 2),
+th as (select * from (select *, row_number() over (partition by qid order by score desc, point_id) as rank from scored) where rank <= {K})"""
+_HASH = f"""{_LATEST}, hv as (select point_id, list_transform(range(32), lambda i: cast(('0x' || substr(sha256(text), i * 2 + 1, 2)) as integer) / 255.0::double) as v from latest where text is not null),
+qv as (select item_id as qid, list_transform(range(32), lambda i: cast(('0x' || substr(sha256(question), i * 2 + 1, 2)) as integer) / 255.0::double) as v from eval_items where question is not null),
+hh as (select * from (select qid, point_id, score, row_number() over (partition by qid order by score desc, point_id) as rank from (select qid, point_id, round(list_cosine_similarity(qv.v, hv.v), 9) as score from qv, hv)) where rank <= {K})"""
+_VECTORS = "s as (select q.vec_id as qid, q.label as wanted, e.vec_id, e.label, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 9) as score from embeddings q, embeddings e where q.vec_id % 50 = 0)"
+
+
+def _metrics(hits: str, name: str) -> str:
+    return f"""{name} as (select qid, wanted, cast(coalesce(bool_or(hit and rank <= 5), false) as integer) as recall_5, cast(coalesce(bool_or(hit and rank <= 10), false) as integer) as recall_10, coalesce(round(1.0 / min(rank) filter (where hit), 6), 0.0) as rr, max(score) as top_score
+from (select q.qid, q.wanted, h.rank, h.score, lower(trim(l.vendor)) = q.wanted as hit from (select item_id as qid, lower(trim(vendor)) as wanted from eval_items) q left join {hits} h using (qid) left join latest l using (point_id)) group by 1, 2)"""
+
+
+def _aggregate(name: str) -> str:
+    return f"select count(*) as n, round(avg(recall_5), 6) as recall_5, round(avg(recall_10), 6) as recall_10, round(avg(rr), 6) as mrr, round(avg(top_score), 6) as mean_top from {name}"
+
+
+def oracle_sql() -> dict[str, str]:
+    fuse = "select qid, point_id, score, row_number() over (partition by qid order by score desc, point_id) as rank from (select qid, point_id, round(sum(1.0::double / (60 + rank)), 8) as score from ({0}) group by 1, 2)"
+    cost = "(case when length(p) = 0 then 0 else greatest(1, length(p) // 4) end + 2)"
+    both = f"with {_TERMS}, {_HASH.removeprefix(_LATEST + ', ')}, {_metrics('th', 'ma')}, {_metrics('hh', 'mb')}"
+    return {
+        "t1_vector_topk": f"with {_VECTORS} select qid, vec_id, score, rank from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from s) where rank <= {VECTOR_K}",
+        "t2_sharded_topk": f"with {_VECTORS} select qid, vec_id, score, rank from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from s) where rank <= {VECTOR_K}",
+        "r7_filtered_fallback": f"with {_VECTORS} select qid, vec_id, score, rank, qid % 250 = 0 as fallback from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from s where qid % 250 = 0 or label = wanted) where rank <= {VECTOR_K}",
+        "j9_cache_lookup": f"with {_VECTORS}, two as (select * from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from s) where rank <= 2) select qid, vec_id, score from (select *, row_number() over (partition by qid order by score desc, vec_id) as n from two where vec_id <> qid and score >= 0.2) where n = 1",
+        "a17_idf": f"with {_TERMS} select term, cast(df as bigint) as df, round(idf, 6) as idf from idf",
+        "j2_term_search": f"with {_TERMS} select qid, point_id, score, rank from th",
+        "r1_hash_search": f"with {_HASH} select qid, point_id, score, rank from hh",
+        "r2_hybrid": f"with {_TERMS}, {_HASH.removeprefix(_LATEST + ', ')} " + fuse.format("select qid, point_id, rank from th union all select qid, point_id, rank from hh"),
+        "t4_rerank": f"with {_TERMS}, j as (select qid, point_id, rank as before, round(case when len(list_distinct(a || b)) = 0 then 0 else len(list_intersect(a, b)) / len(list_distinct(a || b)) end, 6) as score from (select th.*, list_distinct(regexp_extract_all(lower(qs.question), '[a-z0-9]+')) as a, list_distinct(regexp_extract_all(lower(substr(l.text, 1, 512)), '[a-z0-9]+')) as b from th join qs using (qid) join latest l using (point_id))) select qid, point_id, score, rank from (select *, row_number() over (partition by qid order by score desc, before) as rank from j) where rank <= 5",
+        "f6_score_floor": f"with {_TERMS} select qid, point_id, score, rank from (select *, max(score) over (partition by qid) as best from th) where score >= 30 or (best < 30 and rank = 1)",
+        "w3_context": f"with {_TERMS}, b as (select th.qid, th.point_id, th.rank, cast({cost} as bigint) as cost from (select point_id, case when length(text) > 1000 then rtrim(substr(text, 1, 1000), ' ') || '…' else coalesce(text, '') end as p from latest) join th using (point_id)) select * from (select *, cast(sum(cost) over (partition by qid order by rank) as bigint) as spent from b) where spent <= 1200 or rank = 1",
+        "r14_citations": f"with {_TERMS}, f as (select qid, source, page, min(rank) as rank from th join latest using (point_id) group by 1, 2, 3) select qid, row_number() over (partition by qid order by rank) as n, source || coalesce(' p.' || (page + 1), '') as label from f",
+        "a12_score_stats": f"with {_TERMS} select qid, arg_min(score, rank) as top, round(avg(score), 6) as mean from th group by 1",
+        "r10_evaluation": f"with {_TERMS}, {_metrics('th', 'ma')} select * from ma",
+        "a9_aggregate": f"with {_TERMS}, {_metrics('th', 'ma')} {_aggregate('ma')}",
+        "r11_ab": f"{both} select winner, count(*) as n from (select case when b.recall_5 > a.recall_5 or (b.recall_5 = a.recall_5 and b.rr > a.rr) then 'b' else 'a' end as winner from ma a join mb b using (qid)) group by 1",
+        "a13_feedback": "select strftime(received_at, '%Y-%m') as month, count(*) as n, round(avg(case when rating > 0 then 1.0::double else 0.0::double end), 6) as pass_rate, round(avg(rating), 6) as mean from feedback where rating in (-1, 1) group by 1",
+        "a19_outcomes": "select rating, count(*) as n from feedback group by 1",
+        "f26_sampling": "select feedback_id, substr(trim(question), 1, 240) as question from feedback where question is not null and cast('0x' || substr(sha256(question), 1, 8) as bigint) / 4294967295.0::double < 0.05",
+        "w18_cache_cap": "select feedback_id, question from feedback where question is not null and answer is not null order by received_at desc, feedback_id desc limit 200",
+        "j15_vendor_inference": "with a as (select distinct vendor, regexp_replace(lower(alias), '[^a-z0-9]', '', 'g') as alias from (select vendor, unnest(aliases) as alias from vendors)), q as (select feedback_id, regexp_replace(lower(question), '[^a-z0-9]', '', 'g') as q from feedback where question is not null), m as (select distinct feedback_id, vendor from q, a where alias <> '' and contains(q, alias)) select q.feedback_id, coalesce(string_agg(vendor, ',' order by vendor), '') as vendors, case when count(vendor) = 1 then min(vendor) end as scope from q left join m using (feedback_id) group by 1",
+    }
