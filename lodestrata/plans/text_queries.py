@@ -1,4 +1,153 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""Queries of text functions, chunking, transcripts, dialogues and streams, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking, timed
+from ..session import table
+from ..streaming import events
+
+
+def f1_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of all documents with their counts and document counts."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def f4_document_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Token estimate, digest, preview, numbered steps and normalised names of each document."""
+    text = F.col("text")
+    n_steps = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"^[ \t]*[0-9]+[.)][ \t]")))
+    return table(spark, d, "documents").select(
+        "doc_id",
+        T.token_estimate(text).alias("n_tokens"),
+        F.sha2(text, 256).alias("digest"),
+        T.preview(text, 120).alias("preview"),
+        (n_steps >= 3).alias("is_procedure"),
+        T.normalised(F.col("vendor")).alias("vendor"),
+        T.doc_type(F.col("doc_type")).alias("doc_type"),
+    )
+
+
+def f12_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Name-based ids of source|page|index and digest ids of source:index."""
+    rows = table(spark, d, "chunks").select("source", "page", "chunk_index").where("source is not null").distinct()
+    key = F.concat_ws("|", "source", F.coalesce(F.col("page").cast("string"), F.lit("None")), F.coalesce("chunk_index", F.lit(0)).cast("string"))
+    return rows.select("source", "page", "chunk_index", T.uuid5(key).alias("uuid"), T.digest_id(F.col("source"), F.coalesce("chunk_index", F.lit(0))).alias("chunk_id"))
+
+
+def f15_url_names(spark: SparkSession, d: str) -> DataFrame:
+    """A file name and the host of each url."""
+    rows = table(spark, d, "chunks").where("url is not null").select("url", F.coalesce(T.normalised(F.col("vendor")), F.lit("unknown")).alias("v")).groupBy("url").agg(F.min("v").alias("v"))
+    return rows.select("url", T.url_slug(F.col("url"), F.concat("v", F.lit("-index"))).alias("file_name"), F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/:?#]+)", 1)).alias("host"))
+
+
+def f27_glossary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "vtt_cues").where("text is not null").select("cue_id", "start_seconds", timed.glossed(timed.cue_line(F.col("text"))).alias("text"))
+
+
+def f5_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The line that names a chunk in a prompt: file and page, or file and time to a tenth of a second."""
+    rows = table(spark, d, "chunks").where("source is not null").select("point_id", "source", "page", "section", "start_seconds").dropDuplicates(["point_id"])
+    place = F.when(F.col("page").isNotNull(), F.concat(F.lit(" p."), (F.col("page") + 1).cast("string"))).when(F.col("start_seconds").isNotNull(), F.concat(F.lit(" t="), F.floor("start_seconds").cast("string"), F.lit("s"))).otherwise("")
+    return rows.select("point_id", F.concat(F.lit("["), "source", place, F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" §"), "section")).otherwise(""), F.lit("]")).alias("header"))
+
+
+def f11_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Why a caption is rejected, the first reason: short, ids, numbers; null if it is kept."""
+    text = F.trim("text")
+    share = F.length(F.regexp_replace(text, r"[^0-9.,\[\] ]", "")) / F.length(text)
+    reason = F.when(F.coalesce(F.length(text), F.lit(0)) < 15, "short").when(F.lower(text).startswith("ids:"), "ids").when(share > 0.5, "numbers")
+    return table(spark, d, "chunks").where("content_type = 'image_caption'").select("point_id", reason.alias("reason")).distinct()
+
+
+def f7_steps(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.steps(table(spark, d, "documents")).select("doc_id", "part_no", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+def f8_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunked(table(spark, d, "documents"))
+
+
+def w10_sections(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.sections(table(spark, d, "documents"))
+
+
+def w7_fresh_lines(spark: SparkSession, d: str) -> DataFrame:
+    return timed.fresh_lines(table(spark, d, "vtt_cues")).select("video_id", "cue_id", F.array_join("lines", "\n").alias("text"))
+
+
+def w9_time_windows(spark: SparkSession, d: str) -> DataFrame:
+    return timed.time_windows(table(spark, d, "vtt_cues"))
+
+
+def w17_evenly_spaced(spark: SparkSession, d: str) -> DataFrame:
+    return timed.evenly_spaced(table(spark, d, "vtt_cues").dropDuplicates(["cue_id"]))
+
+
+def w5_history(spark: SparkSession, d: str) -> DataFrame:
+    return timed.recent_history(table(spark, d, "session_messages"))
+
+
+def w19_rechunk(spark: SparkSession, d: str) -> DataFrame:
+    """Answers in runs of eight words with a blank after each but the last."""
+    words = F.filter(F.split("answer", " "), lambda w: w != "")
+    rows = table(spark, d, "feedback").where("answer is not null").select("feedback_id", words.alias("ws")).where(F.size("ws") > 0)
+    runs = rows.select("feedback_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 8).cast("int"))).alias("i"))
+    piece = F.concat(F.array_join(F.slice("ws", F.col("i") * 8 + 1, 8), " "), F.when((F.col("i") + 1) * 8 < F.size("ws"), " ").otherwise(""))
+    return runs.select("feedback_id", "i", piece.alias("piece"))
+
+
+def f32_subquestions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "feedback").where("question is not null").select("feedback_id", F.posexplode(F.split("question", r"(?i)[ ]+(?:and|;)[ ]+")).alias("i", "part"))
+    return rows.where("trim(part) != ''")
+
+
+def v52_session_touch(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions with the time of their last message where it is later than the stored one."""
+    last = table(spark, d, "session_messages").where("session_id is not null and created_at < 1e11").groupBy("session_id").agg(F.max("created_at").alias("last"))
+    return table(spark, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.max("updated_at").alias("updated_at")).join(last, "session_id", "left").select("session_id", F.greatest("updated_at", "last").alias("updated_at"))
+
+
+def st1_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: hourly windows of the event stream, by event time with a watermark."""
+    return events.event_windows(spark, f"{d}/events.parquet")
+
+
+def st3_job_states(spark: SparkSession, d: str) -> DataFrame:
+    return events.job_states(spark, f"{d}/events.parquet", "2024-01-30 12:00:00")
+
+
+def queries() -> dict:
+    return {k: f for k, f in globals().items() if callable(f) and k.split("_")[0][-1:].isdigit() and getattr(f, "__module__", "") == __name__}
+
+
+_DOC_TYPE = "case when coalesce(lower(trim(doc_type)), '') = '' then 'manual' when lower(trim(doc_type)) in ('manual','datasheet','tutorial','release_notes','article','other') then lower(trim(doc_type)) when lower(trim(doc_type)) in ('user_manual','guide','handbook','api_reference') then 'manual' when lower(trim(doc_type)) = 'spec' then 'datasheet' when lower(trim(doc_type)) = 'release' then 'release_notes' else 'other' end"
+
+
+def oracle_sql() -> dict[str, str]:
+    key = "source || '|' || coalesce(cast(page as varchar), 'None') || '|' || cast(coalesce(chunk_index, 0) as varchar)"
+    glossed = "trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g'), ' ')"
+    for pattern, term in timed.GLOSSARY:
+        glossed = f"regexp_replace({glossed}, '\\b{pattern}\\b', '{term}', 'gi')"
+    return {
+        "f1_terms": "select term, cast(sum(tf) as bigint) as n, count(*) as n_docs from (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents) group by 1, 2) group by 1",
+        "f4_document_facts": f"select doc_id, cast(case when coalesce(length(text), 0) = 0 then 0 else greatest(1, length(text) // 4) end as integer) as n_tokens, sha256(text) as digest, case when length(text) > 120 then rtrim(substr(text, 1, 120), ' ') || '…' else text end as preview, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^[ \\t]*[0-9]+[.)][ \\t]'))) >= 3 as is_procedure, nullif(lower(trim(vendor)), '') as vendor, {_DOC_TYPE} as doc_type from documents",
+        "f12_ids": f"with k as (select distinct source, page, chunk_index from chunks where source is not null), h as (select *, sha1('\\x6b\\xa7\\xb8\\x11\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::blob || encode({key})) as h from k) select source, page, chunk_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as uuid, substr(sha256(replace(source, '\\', '/') || ':' || coalesce(chunk_index, 0)), 1, 32) as chunk_id from h",
+        "f15_url_names": "with u as (select url, min(coalesce(nullif(lower(trim(vendor)), ''), 'unknown')) as v from chunks where url is not null group by 1), s as (select url, v, regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '([^/]*)/*$', 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from u) select url, case when slug = '' then v || '-index' else slug end || '-' || substr(sha256(url), 1, 8) || '.html' as file_name, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) as host from s",
+        "f27_glossary": f"select cue_id, start_seconds, {glossed} as text from vtt_cues where text is not null",
+        "f5_headers": "select distinct point_id, '[' || source || case when page is not null then ' p.' || (page + 1) when start_seconds is not null then ' t=' || cast(floor(start_seconds) as bigint) || 's' else '' end || case when coalesce(section, '') <> '' then ' §' || section else '' end || ']' as header from chunks where source is not null",
+        "f11_captions": "select distinct point_id, case when coalesce(length(trim(text, ' ')), 0) < 15 then 'short' when starts_with(lower(trim(text, ' ')), 'ids:') then 'ids' when length(regexp_replace(trim(text, ' '), '[^0-9.,\\[\\] ]', '', 'g')) / length(trim(text, ' ')) > 0.5 then 'numbers' end as reason from chunks where content_type = 'image_caption'",
+        "w9_time_windows": "select video_id, cast(floor(start_seconds / 45) as bigint) as window_no, arg_min(cue_id, struct_pack(a := start_seconds, b := cue_id)) as first_cue_id, min(start_seconds) as start, max(greatest(start_seconds, end_seconds)) as \"end\", count(*) as n_cues from vtt_cues where video_id is not null and start_seconds is not null group by 1, 2",
+        "w7_fresh_lines": "with c as (select video_id, coalesce(start_seconds, 0) as start, cue_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g'), ' ')), lambda x: x <> '') as lines from vtt_cues where video_id is not null), p as (select *, coalesce(lag(lines) over (partition by video_id order by start, cue_id), []) as seen from c where len(lines) > 0) select video_id, cue_id, array_to_string(list_filter(lines, lambda x: len(list_filter(seen, lambda s: starts_with(s, x))) = 0), chr(10)) as text from p",
+        "w17_evenly_spaced": "with r as (select video_id, cue_id, row_number() over (partition by video_id order by coalesce(start_seconds, 0), cue_id) - 1 as pos, count(*) over (partition by video_id) as n from vtt_cues where video_id is not null), k as (select distinct video_id, case when least(n, 60) = 1 then 0 else cast(round_even(i * (n - 1)::double / (least(n, 60) - 1), 0) as bigint) end as pos from (select distinct video_id, n, unnest(range(least(n, 60))) as i from r)) select video_id, cue_id, pos from r join k using (video_id, pos)",
+        "w5_history": "with r as (select *, row_number() over w as n from session_messages where session_id is not null and role in ('user', 'assistant') and content <> '' and created_at is not null window w as (partition by session_id order by created_at desc, id desc)), s as (select *, sum(length(content)) over (partition by session_id order by n) as spent from r where n <= 6) select session_id, id, case when spent > 4000 then substr(content, 1, cast(4000 - (spent - length(content)) as bigint)) || '…' else content end as content from s where spent - length(content) < 4000",
+        "w19_rechunk": "with w as (select feedback_id, list_filter(string_split(answer, ' '), lambda x: x <> '') as ws from feedback where answer is not null), r as (select feedback_id, ws, unnest(range((len(ws) - 1) // 8 + 1)) as i from w where len(ws) > 0) select feedback_id, cast(i as integer) as i, array_to_string(list_slice(ws, i * 8 + 1, i * 8 + 8), ' ') || case when (i + 1) * 8 < len(ws) then ' ' else '' end as piece from r",
+        "f32_subquestions": "select feedback_id, cast(i as integer) as i, part from (select feedback_id, unnest(range(len(p))) as i, unnest(p) as part from (select feedback_id, regexp_split_to_array(question, '(?i)[ ]+(?:and|;)[ ]+') as p from feedback where question is not null)) where trim(part, ' ') <> ''",
+        "v52_session_touch": "select s.session_id, greatest(s.updated_at, m.last) as updated_at from (select session_id, max(updated_at) as updated_at from sessions where session_id is not null group by 1) s left join (select session_id, max(created_at) as last from session_messages where session_id is not null and created_at < 1e11 group by 1) m using (session_id)",
+        "st1_event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2",
+        "st3_job_states": "select user_id, count(*) as n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_ts, case when epoch(timestamp '2024-01-30 12:00:00') - epoch(max(ts)) > 7200 then 'stale' else arg_max(event_type, struct_pack(a := ts, b := event_id)) end as state from events where user_id is not null group by 1",
+    }
