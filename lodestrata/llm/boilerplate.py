@@ -14,6 +14,8 @@ from .common import is_blank, lines_of
 REFERENCE_PAGES = 500
 #: Branches below this importance are removed; at 500 pages it is reached on a page in 22.
 LEAST_IMPORTANCE = 0.5
+#: The key of the tree of all pages.
+MERGED = 0
 #: Pages that must share a node before it counts as repeated at all.
 LEAST_PAGES = 3
 
@@ -44,13 +46,13 @@ def style_of(line: Column) -> Column:
 
 def page_lines(chunks: DataFrame) -> DataFrame:
     """One row a line of the stored chunks with a url: where it stands, its style and its plain form."""
-    rows = chunks.where("url is not null and text is not null").select("point_id", "source", "url", "lang", "vendor", "section", "chunk_index", "text").dropDuplicates(["point_id"])
+    rows = chunks.where("url is not null and text is not null")
     last_steps = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(_STEP)), lambda x: F.lower(F.trim(F.element_at(F.split(x, _STEP), F.lit(-1)))))
     rows = rows.select(
         "point_id",
         F.xxhash64("source").alias("page"),
-        F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)).alias("host"),
-        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.xxhash64(F.lit("host"), F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))).alias("host"),
+        F.xxhash64(F.lit("lang"), F.coalesce("lang", F.lit(""))).alias("lang"),
         F.lower(F.trim("vendor")).alias("vendor"),
         F.array_append(F.coalesce(last_steps, F.array().cast("array<string>")), F.lower(F.trim(F.coalesce("section", F.lit(""))))).alias("titles"),
         F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"),
@@ -85,12 +87,13 @@ def with_nodes(lines: DataFrame) -> DataFrame:
         .when(F.size(words) < 3, F.array_union(F.array(content), links))
         .otherwise(F.array_union(F.array(content), F.array_remove(framed, "frame -")))
     )
-    return lines.withColumn("nodes", nodes)
+    hashed = F.transform(nodes, lambda n: F.struct(F.xxhash64(n).alias("node"), (~n.startswith("frame ")).alias("sure")))
+    return lines.withColumn("nodes", hashed).drop("form", "low")
 
 
 def _trees() -> Column:
     """The trees a line counts in: its host's, the merged one of its language, and that of all pages."""
-    return F.array(F.concat(F.lit("host "), "host"), F.concat(F.lit("lang "), "lang"), F.lit("all"))
+    return F.array("host", "lang", F.lit(MERGED).cast("bigint"))
 
 
 def unimportant_nodes(lines: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -98,14 +101,14 @@ def unimportant_nodes(lines: DataFrame, least: float = LEAST_IMPORTANCE) -> Data
 
     The importance of a node is the information of meeting it on a page, -log(share of pages), in units of that of one
     page in REFERENCE_PAGES: what all pages of a site show says nothing. Pages count once a node before the shuffle, and
-    path lines don't count, for their words prove nothing. The merged trees come out as one, named merged. A tree keeps at most the nodes of a page over the least share.
+    path lines don't count, for their words prove nothing. The merged trees come out as one. A tree keeps at most the nodes of a page over the least share.
     """
     trees = _trees()
-    counted = lines.where("style != 'path'").select(F.explode("nodes").alias("node"), "host", "lang", "page").distinct()
+    counted = lines.where("style != 'path'").select(F.explode("nodes.node").alias("node"), "host", "lang", "page").distinct()
     by_node = counted.select(F.explode(trees).alias("tree"), "node", "page").groupBy("tree", "node").agg(F.count(F.lit(1)).alias("pages"))
     totals = lines.select("host", "lang", "page").distinct().select(F.explode(trees).alias("tree"), "page").groupBy("tree").agg(F.count(F.lit(1)).alias("all_pages"))
     importance = -F.log(F.col("pages") / F.col("all_pages")) / math.log(REFERENCE_PAGES)
-    return by_node.where(F.col("pages") >= LEAST_PAGES).join(totals, "tree").where(importance < least).select(F.when(F.col("tree").startswith("host "), F.col("tree")).otherwise("merged").alias("tree"), "node").distinct()
+    return by_node.where(F.col("pages") >= LEAST_PAGES).join(totals, "tree").where(importance < least).join(lines.select(F.col("host").alias("tree")).distinct().withColumn("own", F.lit(True)), "tree", "left").select(F.when(F.col("own"), F.col("tree")).otherwise(MERGED).alias("tree"), "node").distinct()
 
 
 def furniture(chunks: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -118,9 +121,10 @@ def furniture(chunks: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """
     lines = checkpointed(with_nodes(page_lines(chunks)))
     low = unimportant_nodes(lines, least)
-    rows = lines.select("point_id", "line_no", "page", "chunk_index", "style", "titled", F.explode("nodes").alias("node"), F.array(F.concat(F.lit("host "), "host"), F.lit("merged")).alias("trees"))
-    rows = rows.select("point_id", "line_no", "style", "titled", "node", F.explode("trees").alias("tree"))
-    hits = checkpointed(join_checked(rows, low, ["tree", "node"], "left_semi", salt_by="point_id").groupBy("point_id", "line_no", "style", "titled").agg(F.bool_or(~F.col("node").startswith("frame ")).alias("sure")))
+    rows = lines.select("point_id", "line_no", "style", "titled", F.explode("nodes").alias("n"), F.array("host", F.lit(MERGED).cast("bigint")).alias("trees"))
+    rows = rows.select("point_id", "line_no", "style", "titled", "n.node", "n.sure", F.explode("trees").alias("tree"))
+    hits = join_checked(rows, low, ["tree", "node"], "left_semi", salt_by="point_id").groupBy("point_id", "line_no", "style", "titled").agg(F.bool_or("sure").alias("sure"))
+    hits = checkpointed(hits)
     at = ["point_id", "line_no"]
     open_ = lines.where("style in ('plain', 'labelled')").join(hits.where("sure"), at, "left_anti")
     first = open_.groupBy("page").agg(F.min(F.struct("chunk_index", "line_no", "point_id")).alias("f")).where("f.chunk_index = 0").select("f.point_id", "f.line_no")
