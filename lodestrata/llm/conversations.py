@@ -53,10 +53,12 @@ def buffered(rows: DataFrame, part: str = PART, delay: str = DELAY) -> DataFrame
 
     Rows that come late wait in the state of their window. Of messages alike in session, role, content and time the first
     id counts. A session is split by windows, so that none has to fit one group; parts are joined again by stitched().
+    Of messages without time only their role is kept, once: they break their conversation.
     """
-    entry = F.struct(F.coalesce("at", F.lit(-1.0)).alias("at"), "raw_role", "content", "id", "role", F.col("at").isNull().alias("no_time"))
-    parts = rows.withWatermark("ts", delay).groupBy("session_id", F.window("ts", part).alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    same = lambda x, y: (x["at"] == y["at"]) & x["raw_role"].eqNullSafe(y["raw_role"]) & (x["content"] == y["content"])
+    timed = F.col("at").isNotNull()
+    entry = F.struct(F.coalesce("at", F.lit(-1.0)).alias("at"), F.when(timed, F.col("raw_role")).alias("raw_role"), F.when(timed, F.col("content")).otherwise("").alias("content"), F.when(timed, F.col("id")).alias("id"), "role", (~timed).alias("no_time"))
+    parts = rows.withWatermark("ts", delay).groupBy("session_id", F.window("ts", part).alias("part")).agg(F.sort_array(F.collect_set(entry)).alias("all"))
+    same = lambda x, y: (x["at"] == y["at"]) & x["raw_role"].eqNullSafe(y["raw_role"]) & (x["content"] == y["content"]) & ~x["no_time"]
     once = F.filter("all", lambda x, i: (i == 0) | ~same(x, F.element_at("all", F.greatest(i, F.lit(1)))))
     message = lambda x: F.struct(x["at"].alias("at"), x["id"].alias("id"), x["role"].alias("role"), x["content"].alias("content"), x["no_time"].alias("no_time"))
     return parts.select("session_id", F.col("part.start").alias("part"), F.sort_array(F.transform(once, message)).alias("messages"))
@@ -89,9 +91,9 @@ def run_bounded(spark: SparkSession, path: str, part: str = PART, delay: str = D
     return spark.read.schema("session_id string, part timestamp, messages array<struct<at:double,id:bigint,role:string,content:string,no_time:boolean>>").parquet(f"{out}/parts")
 
 
-#: One letter for each kind of message.
+#: One letter for each kind of message; y is a system message without time, x another that breaks the conversation.
 LETTERS = {"user": "u", "assistant": "a", "system": "s"}
-BROKEN, UNANSWERED, PRESENT = r"x|[ua]s|[\^sa]a", r"u[us$]", r"[uax]"
+BROKEN, UNANSWERED, PRESENT = r"[xy]|[ua]s|[\^sa]a", r"u[us$]", r"[uax]"
 
 
 def stitched(parts: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def stitched(parts: DataFrame) -> DataFrame:
 
     Only letters of neighbouring parts meet, so a session of any length is judged from one short row a part.
     """
-    letter = lambda m: F.when(m["no_time"], "x").otherwise(F.coalesce(*[F.when(m["role"] == k, v) for k, v in LETTERS.items()], F.lit("x")))
+    letter = lambda m: F.when(m["no_time"], F.when(m["role"] == "system", "y").otherwise("x")).otherwise(F.coalesce(*[F.when(m["role"] == k, v) for k, v in LETTERS.items()], F.lit("x")))
     rows = parts.select("session_id", "part", F.array_join(F.transform("messages", letter), "").alias("roles"))
     order = Window.partitionBy("session_id").orderBy("part")
     before, after = F.lag(F.right("roles", F.lit(1))).over(order), F.lead("part").over(order)

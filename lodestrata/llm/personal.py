@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, join_checked
@@ -135,11 +136,18 @@ def proposed(text: str, given: frozenset[str]) -> list[Span]:
         found += [("address", m.start(), m.end(), 4.0, "", "") for m in pattern.finditer(text)]
     found += _numbers(text)
     kept: list[Span] = []
+    taken: list[tuple[int, int]] = []
     for span in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1])):
-        if all(span[2] <= k[1] or span[1] >= k[2] for k in kept):
+        if _free(taken, span):
             kept.append(span)
-    fixed = list(kept)
-    return kept + [s for s in _names(text, given) if all(s[2] <= k[1] or s[1] >= k[2] for k in fixed)]
+            bisect.insort(taken, span[1:3])
+    return kept + [s for s in _names(text, given) if _free(taken, s)]
+
+
+def _free(taken: list[tuple[int, int]], span: Span) -> bool:
+    """Whether a span overlaps none of the sorted, disjoint ones."""
+    at = bisect.bisect_left(taken, (span[1], span[1]))
+    return not (at < len(taken) and taken[at][0] < span[2] or at and taken[at - 1][1] > span[1])
 
 
 def proposals(documents: DataFrame, given_names: DataFrame) -> DataFrame:
@@ -196,9 +204,15 @@ def personal_spans(documents: DataFrame, given_names: DataFrame) -> DataFrame:
 
 
 def _apart(spans: DataFrame) -> DataFrame:
-    """Of spans of one document that overlap, the one with the highest score, then the longest, then the first."""
+    """Of spans of one document that overlap, the one with the highest score, then the longest, then the first.
+
+    Only runs of spans that touch one another are compared, so a long document with many spans stays cheap.
+    """
+    order = Window.partitionBy("doc_id").orderBy("start", "stop")
+    rows = spans.distinct().withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = rows.withColumn("run", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     entry = F.struct((-F.col("score")).alias("a"), (F.col("start") - F.col("stop")).alias("b"), "start", "stop", "kind", "found_text")
-    grouped = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(entry)).alias("all"))
+    grouped = runs.groupBy("doc_id", "run").agg(F.sort_array(F.collect_set(entry)).alias("all"))
     free = lambda kept, x: ~F.exists(kept, lambda k: (x["start"] < k["stop"]) & (x["stop"] > k["start"]))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
     return grouped.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.kind", "s.start", "s.stop", "s.found_text")

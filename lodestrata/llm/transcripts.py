@@ -15,6 +15,8 @@ from ..session import checkpointed, join_checked
 
 #: Seconds of a video that are ordered together; longer videos are split and joined again.
 PART_SECONDS = 300
+#: Cue ids that are ordered together where the start is missing.
+PART_CUES = 5000
 #: Cues from which the tagger is fitted: the first by hash, so the same at any partitioning.
 FIT_CUES = 20_000
 STATES = ["speaker", "timestamp", "annotation", "filler", "speech"]
@@ -178,7 +180,7 @@ def before(df: DataFrame, value: str, out: str, order: list[str]) -> DataFrame:
 def fresh_cues(cues: DataFrame) -> DataFrame:
     """video_id, part, start, cue_id, lines: each cue once, with the lines that the cue before doesn't have."""
     once = cues.where("video_id is not null").groupBy("video_id", "start_seconds", "end_seconds", "text").agg(F.min("cue_id").alias("cue_id"))
-    rows = once.select("video_id", F.floor(F.coalesce("start_seconds", F.lit(-1.0)) / PART_SECONDS).alias("part"), F.coalesce("start_seconds", F.lit(-1.0)).alias("start"), "cue_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "").alias("lines"))
+    rows = once.select("video_id", F.coalesce(F.floor(F.col("start_seconds") / PART_SECONDS), F.floor(F.col("cue_id") / PART_CUES) - F.lit(1 << 50)).alias("part"), F.coalesce("start_seconds", F.lit(-1.0)).alias("start"), "cue_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "").alias("lines"))
     return before(rows, "lines", "shown", ["start", "cue_id"]).select("video_id", "part", "start", "cue_id", F.filter("lines", lambda x: ~F.coalesce(F.array_contains("shown", x), F.lit(False))).alias("lines"))
 
 

@@ -52,12 +52,12 @@ def test_conversations(spark, tmp_path):
         (4, "late", "assistant", "a", None, t + 8000, "x"), (5, "late", "user", "q", None, t, "x"), (6, "late", "user", "q", None, t, "x"),
         (7, "open", "user", "q", None, t, "x"), (8, "sys", "system", "s", None, t, "x"), (9, "two", "user", "q", None, t, "x"), (10, "two", "ai", "a", None, t + 4000, "x"), (11, "two", "ai", "b", None, t + 8000, "x"),
         (12, "who", "0", "q", None, t, "x"), (13, "when", "user", "q", None, None, "x"), (14, "lost", "user", "q", None, t, "x"), (15, "lost", "model", "a", None, t + 1, "x"),
-        (16, None, "user", "q", None, t, "x"), (17, "tie", "user", "q", None, t, "x"), (18, "tie", "assistant", "a", None, t, "x"), (19, "after", "user", "q", None, t, "x"), (20, "after", "system", "s", None, t + 9000, "x"), (21, "after", "bot", "a", None, t + 9001, "x"),
+        (16, None, "user", "q", None, t, "x"), (17, "tie", "user", "q", None, t, "x"), (18, "tie", "assistant", "a", None, t, "x"), (19, "after", "user", "q", None, t, "x"), (20, "after", "system", "s", None, t + 9000, "x"), (21, "after", "bot", "a", None, t + 9001, "x"), (22, "sysnull", "system", "s", None, None, "x"), (23, "sysnull", "system", "z", None, None, "x"),
     ]
     spark.createDataFrame(rows, MESSAGE).write.parquet(str(tmp_path / "m"))
     sessions = spark.createDataFrame([(s,) for s in ("ok", "late", "open", "sys", "two", "who", "when", "none", "tie", "after", None)], "session_id string")
     got = rows_of(conversations.broken_conversations(spark, str(tmp_path / "m"), sessions))
-    assert got == {("open", "missing_reply"), ("sys", "empty"), ("two", "broken"), ("who", "broken"), ("when", "broken"), ("lost", "broken"), ("none", "empty"), ("after", "broken")}
+    assert got == {("open", "missing_reply"), ("sys", "empty"), ("two", "broken"), ("who", "broken"), ("when", "broken"), ("lost", "broken"), ("none", "empty"), ("after", "broken"), ("sysnull", "empty")}
     sound = rows_of(conversations.sound_conversations(spark, str(tmp_path / "m"), sessions).select("session_id", "seq", "role"))
     assert sound == {(s, i, r) for s in ("ok", "late", "tie") for i, r in ((1, "user"), (2, "assistant"))}
 
@@ -97,6 +97,19 @@ def test_parser_and_tiling():
     assert pairs.is_copy("a b c d", "a b d") and not pairs.is_copy("a b c d", "a b") and not pairs.is_copy("a b c d", "a b c d e f g h i j k l")
 
 
+def test_long_copies():
+    q = " ".join(f"w{i}" for i in range(5000))
+    for a, want in ((q, True), ("Re: " + q, True), (q.replace("w77 ", "", 1), True), (q.replace("w77 w78 ", "", 1), False), (q + " more", False), (q.replace("w9 ", "x ", 1), False)):
+        assert pairs.is_copy(q, a) == want
+
+
+def test_many_overlapping_spans(spark):
+    text = "Mareth Nerrovich K. Dorvaine, Mareth Nerrovich " * 3000
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = personal.personal_spans(df, spark.createDataFrame([("Mareth",)], "given_name string")).orderBy("start").collect()
+    assert len(got) >= 6000 and all(a.stop <= b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def _page(text, n, source="s.pdf", **more):
     return {"point_id": f"{source}{n}", "source": source, "page": n, "content_type": "text", "source_type": "pdf", "chunk_index": 0, "text": text} | more
 
