@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, as --py-files does, so that they can import it wherever the driver began."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestrata_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="spark-lodestrata-")) / "lodestrata.zip"
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(made))
+    context._lodestrata_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
