@@ -81,6 +81,8 @@ def observed(line: str, names: tuple[tuple[int, str], ...]) -> list[tuple[str, s
             kind = "sep"
         elif _NUMBERED.fullmatch(t.rstrip(": ")):
             kind = "namec" if t.rstrip().endswith(":") else "name"
+        elif len(core) == 2 and core[1] == "." and not (t[0].isupper() and _BARE.sub("", line[m.end() :].strip().split(" ")[0]).lower() in words):
+            kind = "word"
         elif core and t[-1] not in "?!;" and (core in words or core.rstrip(".") in words and t[-1] != "."):
             kind = "namec" if t.endswith(":") else "name"
         elif FILLER.fullmatch(core.strip(".")) and not (core.strip(".") == "mm" and out and re.search(r"\d$", out[-1][0])):
