@@ -166,9 +166,9 @@ def running_lines(pages: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def broken_words(lines: DataFrame) -> DataFrame:
-    """Lines with a next one: left and right piece and the sign between them ('' where there is none)."""
+    """Lines with a next one: left and right piece, the sign between them ('' where there is none), alone if left is the line."""
     last = F.substring_index(F.rtrim("line"), " ", -1)
-    rows = lines.where("next is not null").select("point_id", "line_no", "next_point", "next_no", last.alias("last"), _bare(last).alias("left"), _mark(F.col("line")).alias("mark"), _bare(F.col("next")).alias("right"))
+    rows = lines.where("next is not null").select("point_id", "line_no", "next_point", "next_no", last.alias("last"), _bare(last).alias("left"), _mark(F.col("line")).alias("mark"), _bare(F.col("next")).alias("right"), (~F.trim("line").contains(" ")).alias("alone"))
     ends = F.right("last", F.lit(1)).rlike(rf"[{HYPHENS}{_LETTER}]")
     return rows.where(ends & F.col("left").rlike(r"\p{L}") & F.col("right").rlike(r"^[\p{L}@!|0-9]*\p{L}")).drop("last")
 
@@ -250,11 +250,29 @@ def hyphenated(lines: DataFrame, known: DataFrame, words: DataFrame) -> DataFram
     capital = marked.where(~own & ~F.col("right").rlike(r"^[\p{Ll}@!|0-9]")).withColumn("word", F.lower(F.concat("left", "right")))
     compound = capital.withColumn("word", F.lower(F.concat("left", F.lit("-"), "right")))
     capitals = join_checked(capital.unionByName(compound), words.select("word"), ["word"], "left_semi", salt_by="point_id").drop("word")
-    bare = pairs.where("mark = ''").withColumn("word", F.lower(F.concat("left", "right")))
-    whole = checkpointed(join_checked(bare, known.select("word"), ["word"], "left_semi", salt_by="point_id").drop("word"))
-    no_left = join_checked(whole.where("length(left) > 1").withColumn("word", F.lower("left")), known.select("word"), ["word"], "left_anti", salt_by="point_id").drop("word")
-    no_right = join_checked(whole.where("length(right) > 1").withColumn("word", F.lower("right")), known.select("word"), ["word"], "left_anti", salt_by="point_id").drop("word")
-    return sure.unionByName(joined).unionByName(capitals).unionByName(no_left).unionByName(no_right).drop("mark").distinct()
+    unmarked = unmarked_breaks(pairs.where("mark = ''"), known, words)
+    return sure.unionByName(joined).unionByName(capitals).drop("mark", "alone").unionByName(unmarked).distinct()
+
+
+def unmarked_breaks(pairs: DataFrame, known: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs without a sign that make a known word, of which a piece is no word: rare elsewhere beside the whole.
+
+    Elsewhere are the places other than line ends without a sign and the starts that follow them, where the pieces of breaks
+    stand; so the judgement is the same however many breaks and pages there are.
+    """
+    bare = pairs.withColumn("word", F.lower(F.concat("left", "right")))
+    whole = checkpointed(join_checked(bare, known.select("word", F.col("n").alias("whole_n")), ["word"], "inner", salt_by="point_id").drop("word"))
+    asked = checkpointed(whole.select(F.explode(F.array(F.lower("left"), F.lower("right"))).alias("word")).distinct())
+    ends = pairs.select("point_id", "line_no", F.when(F.col("alone"), "start").otherwise("end").alias("place"), F.lower("left").alias("word"))
+    starts = pairs.select(F.col("next_point").alias("point_id"), F.col("next_no").alias("line_no"), F.lit("start").alias("place"), F.lower("right").alias("word"))
+    beside = join_checked(ends.unionByName(starts), asked, ["word"], "left_semi", salt_by="point_id").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("beside"))
+    elsewhere = asked.join(words, "word", "left").join(beside, "word", "left").select("word", (F.coalesce("n", F.lit(0)) - F.coalesce("beside", F.lit(0))).alias("n"))
+    elsewhere = checkpointed(elsewhere)
+    judged = whole
+    for side in ("left", "right"):
+        judged = join_checked(judged.withColumn("word", F.lower(side)), elsewhere.withColumnRenamed("n", f"{side}_n"), ["word"], "inner", salt_by="point_id").drop("word")
+    no_word = lambda side: (F.length(side) > 1) & (F.col("whole_n") >= TIMES * F.col(f"{side}_n"))
+    return judged.where(no_word("left") | no_word("right")).select("point_id", "line_no", "next_point", "next_no", "left", "right")
 
 
 def misread_lines(lines: DataFrame, words: DataFrame, hyphens: DataFrame) -> DataFrame:

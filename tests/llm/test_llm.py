@@ -136,6 +136,15 @@ def test_scanned_pages(spark):
     assert "for the mounting plate and the network Keep carbon" in fixed and fixed.endswith("the network switch") and "Acme" not in fixed
 
 
+def test_unmarked_breaks_in_a_growing_corpus(spark):
+    def corpus(copies):
+        text = "Hold the bracket firm. The bracket is new, one bracket a day.\nTurn the brac\nket by hand and read the may\nbe of it, may it be so and may it be bracket.\nmaybe so, maybe not, maybe maybe"
+        return [_page(text, 1, f"s{i}-{n}.pdf") for i in range(copies) for n in range(4)]
+
+    got = [{r for r in rows_of(scanned.noisy_lines(chunks(spark, corpus(k)))) if r[2] == "hyphen" and r[0].startswith("s0-")} for k in (1, 10)]
+    assert got[0] == got[1] == {(f"s0-{n}.pdf1", 1, "hyphen") for n in range(4)}
+
+
 def test_skeletons(spark):
     words = [("trocken", "trockeri"), ("route", "roiite"), ("check", "cbeck"), ("Compare", "Cornpare"), ("without", "vvithout"), ("Bezugsebene", "Bezugsebcne"), ("right", "ri9ht"), ("Netzteil", "Netztei1"), ("menu", "rneriii")]
     df = spark.createDataFrame(words, "a string, b string")
