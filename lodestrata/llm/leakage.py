@@ -17,6 +17,9 @@ WINDOW = 12
 STEPS = 3
 #: Independent walks, and symbols of the embedding that are sampled for the key of each.
 REPEATS, BITS = 3, 8
+#: The same for near leaks, with the steps that are sampled: a window found with 0.9 or more, up to three words replaced, one put
+#: in or left out (README); later steps often stand behind the window, where all windows share the fixed symbol.
+NEAR_REPEATS, NEAR_BITS, NEAR_STEPS = 24, 4, 2 * WINDOW
 #: Item windows whose keys one pass over the documents carries; more items take more passes.
 MAX_KEYS = 2_000_000
 SEED = 20240229
@@ -31,7 +34,7 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def _walk_keys(words: np.ndarray, starts: np.ndarray, repeats: int, bits: int) -> np.ndarray:
+def _walk_keys(words: np.ndarray, starts: np.ndarray, repeats: int, bits: int, steps: int = STEPS * WINDOW) -> np.ndarray:
     """Keys (repeats x windows) of the windows that begin at starts.
 
     The walk reads one symbol a step and goes on to the next word or stays, by a random bit of step and word; behind the
@@ -42,9 +45,8 @@ def _walk_keys(words: np.ndarray, starts: np.ndarray, repeats: int, bits: int) -
     mixed = words.astype(np.uint64)
     for k in range(repeats):
         rng = np.random.default_rng(SEED + k)
-        n = STEPS * WINDOW
-        sampled = set(rng.choice(n, size=min(bits, n), replace=False).tolist())
-        multipliers = rng.integers(1, 1 << 62, size=n, dtype=np.uint64) | np.uint64(1)
+        sampled = set(rng.choice(steps, size=min(bits, steps), replace=False).tolist())
+        multipliers = rng.integers(1, 1 << 62, size=steps, dtype=np.uint64) | np.uint64(1)
         at = np.zeros(len(starts), dtype=np.int64)
         key = np.full(len(starts), SEED + k, dtype=np.uint64)
         for j in range(max(sampled) + 1):
@@ -66,7 +68,7 @@ def _windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offsets[:-1][row] + (np.arange(sizes.sum()) - first), row
 
 
-def windows_with_keys(rows: DataFrame, key: str, repeats: int = REPEATS, bits: int = BITS, only: np.ndarray | None = None) -> DataFrame:
+def windows_with_keys(rows: DataFrame, key: str, repeats: int = REPEATS, bits: int = BITS, only: np.ndarray | None = None, steps: int = STEPS * WINDOW) -> DataFrame:
     """key, pos, lsh and win (the word hashes) of each window of the array column words, once for each walk.
 
     With only, just the windows that have one of these keys.
@@ -82,7 +84,7 @@ def windows_with_keys(rows: DataFrame, key: str, repeats: int = REPEATS, bits: i
             starts, row = _windows(offsets)
             if not len(starts):
                 continue
-            keys = _walk_keys(flat, starts, repeats, bits)
+            keys = _walk_keys(flat, starts, repeats, bits, steps)
             for k in range(repeats):
                 hit = np.arange(len(starts)) if wanted is None else np.flatnonzero(_among(keys[k], wanted))
                 if len(hit):
@@ -100,19 +102,19 @@ def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
 
 
-def leaked_windows(documents: DataFrame, items: DataFrame, repeats: int = REPEATS, bits: int = BITS, max_keys: int = MAX_KEYS) -> DataFrame:
+def leaked_windows(documents: DataFrame, items: DataFrame, repeats: int = REPEATS, bits: int = BITS, max_keys: int = MAX_KEYS, steps: int = STEPS * WINDOW) -> DataFrame:
     """doc_id, doc_pos, doc_win, item_id, item_pos, item_win of the windows of documents and items that share a key.
 
     Keys of the items' windows (the small, stated query set) go to the tasks in blocks of max_keys; each window of each
     document is embedded and looked up there, and only hits leave the task, to be joined with the items' windows.
     """
     item_words = items.select("item_id", word_hashes(F.col("passage")).alias("words")).where(F.size("words") >= WINDOW)
-    of_items = checkpointed(windows_with_keys(item_words, "item_id", repeats, bits).toDF("item_id", "item_pos", "lsh", "item_win").distinct())
+    of_items = checkpointed(windows_with_keys(item_words, "item_id", repeats, bits, steps=steps).toDF("item_id", "item_pos", "lsh", "item_win").distinct())
     doc_words = documents.select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= WINDOW)
     keys = np.array([r.lsh for r in of_items.select("lsh").distinct().toLocalIterator()], dtype=np.int64)
     found = None
     for at in range(0, max(len(keys), 1), max_keys):
-        block = windows_with_keys(doc_words, "doc_id", repeats, bits, keys[at : at + max_keys]).toDF("doc_id", "doc_pos", "lsh", "doc_win")
+        block = windows_with_keys(doc_words, "doc_id", repeats, bits, keys[at : at + max_keys], steps).toDF("doc_id", "doc_pos", "lsh", "doc_win")
         found = block if found is None else found.unionByName(block)
     return found.join(of_items, "lsh").drop("lsh")
 
@@ -126,9 +128,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, repeats: int = REPEATS,
     return leaked_windows(documents, items, repeats, bits).where("doc_win = item_win").select("doc_id", "item_id").distinct()
 
 
-def near_leaks(documents: DataFrame, items: DataFrame, max_edits: int = 15, repeats: int = REPEATS, bits: int = BITS) -> DataFrame:
+def near_leaks(documents: DataFrame, items: DataFrame, max_edits: int = 15, repeats: int = NEAR_REPEATS, bits: int = NEAR_BITS, steps: int = NEAR_STEPS) -> DataFrame:
     """doc_id, item_id, edits: the least edit distance (characters) of two 12-word windows that share a key, up to max_edits."""
-    pairs = leaked_windows(documents, items, repeats, bits).select("doc_id", "doc_pos", "item_id", "item_pos").distinct()
+    pairs = leaked_windows(documents, items, repeats, bits, steps=steps).select("doc_id", "doc_pos", "item_id", "item_pos").distinct()
     texts = documents.select("doc_id", words_of(F.col("text")).alias("dw")).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     passages = items.select("item_id", words_of(F.col("passage")).alias("iw"))
     window = lambda words, pos: F.array_join(F.slice(words, F.col(pos) + 1, WINDOW), " ")

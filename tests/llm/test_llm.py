@@ -282,6 +282,32 @@ def test_walk_keeps_near_windows_together():
     assert near > 270 and far == 0
 
 
+def test_near_leaks_beside_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    cases, docs, items = ["one", "two", "three", "added", "dropped"], [], []
+    for i in range(500):
+        ws = [word() for _ in range(13)]
+        items.append((i, " ".join(ws[:12])))
+        at = rng.sample(range(1, 11), 3)
+        kind = cases[i % 5]
+        near = ws[:12]
+        for j in at[: cases.index(kind) + 1] if kind in cases[:3] else []:
+            near[j] = word()
+        if kind == "added":
+            near.insert(at[0], word())
+        if kind == "dropped":
+            near = near[: at[0]] + near[at[0] + 1 :] + ws[12:]
+        docs.append((i, " ".join(near[:12])))
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    want = rows_of(d.crossJoin(e).select("doc_id", "item_id", F.levenshtein("text", "passage", 15).alias("edits")).where("edits >= 0"))
+    got = rows_of(leakage.near_leaks(d, e))
+    assert got <= want and len(want) >= 490
+    for k, kind in enumerate(cases):
+        of = {r for r in want if r[0] % 5 == k}
+        assert len(got & of) >= 0.9 * len(of), kind
+
+
 def test_personal_information(spark):
     given = spark.createDataFrame([("Mareth",), ("Kalvane",), (None,)], "given_name string")
     texts = [
