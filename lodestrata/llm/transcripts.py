@@ -246,11 +246,13 @@ def turn_starts(cues: DataFrame, speakers: DataFrame, fit_cues: int = FIT_CUES)
 
 
 def turns(cues: DataFrame, speakers: DataFrame, fit_cues: int = FIT_CUES) -> DataFrame:
-    """video_id, first_cue_id, speaker_no, part, text: the words of each turn, one row for each part of a video it touches."""
+    """video_id, first_cue_id, speaker_no, text: the words of each turn, one row a turn; parts are joined in order."""
     said = checkpointed(spoken(cues, speakers, fit_cues))
     order = ["start", "cue_id", "i"]
     last = before(said, "speaker_no", "previous", order)
     opens = last.withColumn("opens", F.when(F.col("previous").isNull() | (F.col("previous") != F.col("speaker_no")), F.struct(*order)))
     current = checkpointed(before(opens, "opens", "opened", order).withColumn("turn", F.coalesce("opens", "opened")))
     words = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "words"))), lambda x: x["words"]), " ")
-    return current.groupBy("video_id", "turn", "speaker_no", "part").agg(words.alias("text")).select("video_id", F.col("turn.cue_id").alias("first_cue_id"), "speaker_no", "part", "text")
+    parts = current.groupBy("video_id", "turn", "speaker_no", "part").agg(words.alias("text"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), " ")
+    return parts.groupBy("video_id", "turn", "speaker_no").agg(whole.alias("text")).select("video_id", F.col("turn.cue_id").alias("first_cue_id"), "speaker_no", "text")

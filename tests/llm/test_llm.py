@@ -187,6 +187,13 @@ def test_transcripts(spark):
     assert transcripts.turn_starts(df, speakers.limit(0)).count() == 0
 
 
+def test_turns_are_whole_over_parts(spark):
+    speakers = spark.createDataFrame([("v", 1, "Mareth Nerrovich"), ("v", 2, "Veylisse Dorvaine")], "video_id string, speaker_no int, display_name string")
+    cues = [(1, "v", 290.0, 291.0, "SPEAKER 1: zebra one"), (2, "v", 299.0, 301.0, "yak two"), (3, "v", 300.0, 302.0, "xenon three"), (4, "v", 950.0, 951.0, "apple four"), (5, "v", 951.0, 952.0, "SPEAKER 2: last")]
+    got = transcripts.turns(spark.createDataFrame(cues, "cue_id bigint, video_id string, start_seconds double, end_seconds double, text string"), speakers)
+    assert rows_of(got.select("first_cue_id", "speaker_no", "text")) == {(1, 1, "zebra one yak two xenon three apple four"), (5, 2, "last")} and got.count() == 2
+
+
 def test_viterbi_is_the_best_path():
     tagger = transcripts.Tagger({("start", "speech", ""): 5, ("step", "speech", "speech"): 9, ("step", "speaker", "speech"): 4, ("look", "speaker", "name"): 3, ("look", "speech", "word"): 9, ("look", "speech", "name"): 1})
     import itertools
