@@ -12,6 +12,15 @@ DOC_TYPES = ["manual", "datasheet", "tutorial", "release_notes", "article", "oth
 DOC_TYPE_ALIASES = {"user_manual": "manual", "guide": "manual", "handbook": "manual", "api_reference": "manual", "spec": "datasheet", "release": "release_notes"}
 
 
+#: A time beyond this is in milliseconds.
+MILLISECONDS_FROM = 1e11
+
+
+def seconds_of(at: Column) -> Column:
+    """Epoch seconds of a time in seconds or milliseconds."""
+    return F.when(at > MILLISECONDS_FROM, at / 1000).otherwise(at)
+
+
 def normalised(text: Column) -> Column:
     """Trimmed lower case; null where nothing is left."""
     return F.nullif(F.lower(F.trim(text)), F.lit(""))

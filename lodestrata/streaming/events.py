@@ -25,11 +25,15 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    """A stream over a folder of parquet files or over a single file; nothing beside it is read."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{path.rstrip('/')}*")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    if status.isDirectory():
+        return reader.parquet(at.toString())
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
 
 
 def event_windows(spark: SparkSession, path: str, size: str = "1 hour", delay: str = "1 day") -> DataFrame:
