@@ -14,20 +14,27 @@ from pyspark.sql import functions as F
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public split pattern of this vocabulary.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: States kept before the lazily built transducer is cleared.
-MAX_STATES = 1_000_000
+#: States kept before the lazily built transducer is cleared, also inside a piece.
+MAX_STATES = 200_000
 #: Whole pieces kept with their ids; longer pieces are always walked.
 MAX_PIECES, PIECE_BYTES = 200_000, 48
 
 
+#: The bytes since the first open place; of each open place its distance, its last token (-1 at the start) and its tokens not emitted yet.
+State = tuple[bytes, tuple[tuple[int, int, tuple[int, ...]], ...]]
+
+
 class MergeTransducer:
     """The merges of a byte-level BPE as a finite-state transducer, determinised on demand.
 
     A sequence of tokens is the one that the merges give exactly if each pair of neighbours stays a pair when it is
     encoded alone. So the last token after a prefix is settled by the prefix: it is the longest token that ends there and
-    agrees with the last token before it. No token is longer than longest bytes, so what can follow depends on the last
-    tokens at that many places only: these make a state, and a transition is worked out when it is first taken. The ids
-    are read back from the states once the piece ends. All states are dropped when there are more than max_states.
+    agrees with the last token before it. A later token can begin only at a place from which what has been read so far is
+    the beginning of some token; these open places, each with its distance, its last token and the tokens up to it that
+    are not emitted yet, make a state, whatever was read before. A transition is worked out when it is first taken.
+    Tokens on which all open places agree are emitted at once: a place stays open for less than longest bytes, and
+    the paths to open places part only shortly before them (bounded lookahead of merge tokenisers is known in the
+    literature). All states but the current one are dropped when there are more than max_states.
     """
 
     def __init__(self, vocabulary: str, max_states: int = MAX_STATES):
@@ -37,13 +44,23 @@ class MergeTransducer:
         self.bytes_of = {i: b for b, i in self.ids.items()}
         self.max_states = max_states
         self.agrees = lru_cache(maxsize=1_000_000)(self._agrees)
-        self.whole = {i for b, i in self.ids.items() if self._merged(b) == [b]}
+        self.whole = {b: i for b, i in self.ids.items() if self._merged(b) == [b]}
+        self.begun = {b[:n] for b in self.whole for n in range(1, len(b))}
         self._clear()
 
     def _clear(self) -> None:
-        self.step: list[dict[int, int]] = [{}]
-        self.last = [-1]
-        self.states: dict[tuple[int, ...], int] = {}
+        self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.open: list[State] = []
+        self.states: dict[State, int] = {}
+        self._state((b"", ((0, -1, ()),)))
+
+    def _state(self, key: State) -> int:
+        known = self.states.get(key)
+        if known is None:
+            known = self.states[key] = len(self.open)
+            self.step.append({})
+            self.open.append(key)
+        return known
 
     def _merged(self, text: bytes) -> list[bytes]:
         """The merges applied in order of rank to a short string."""
@@ -60,37 +77,42 @@ class MergeTransducer:
         a, b = self.bytes_of[left], self.bytes_of[right]
         return self._merged(a + b) == [a, b]
 
-    def _advance(self, text: bytes, end: int, path: list[int]) -> int:
-        """The state after text[:end], whose prefixes led to the states of path."""
-        for size in range(min(self.longest, end), 0, -1):
-            token = self.ids.get(text[end - size : end])
-            if token is None or token not in self.whole:
-                continue
-            if end == size or self.agrees(self.last[path[end - size]], token):
-                key = (*(self.last[s] for s in path[-self.longest :]), token)
-                if key not in self.states:
-                    self.states[key] = len(self.last)
-                    self.step.append({})
-                    self.last.append(token)
-                return self.states[key]
-        raise ValueError("a byte is missing in the vocabulary")
+    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The state after the byte and the tokens emitted on the way."""
+        tail, places = self.open[state]
+        tail += bytes([byte])
+        ended = None
+        still = []
+        for size, last, waiting in places:
+            piece = tail[len(tail) - size - 1 :]
+            token = self.whole.get(piece)
+            if ended is None and token is not None and (last < 0 or self.agrees(last, token)):
+                ended = (0, token, (*waiting, token))
+            if piece in self.begun:
+                still.append((size + 1, last, waiting))
+        if ended is None:
+            raise ValueError("a byte is missing in the vocabulary")
+        still.append(ended)
+        paths = [waiting for _, _, waiting in still]
+        n = 0
+        while all(len(w) > n for w in paths) and len({w[n] for w in paths}) == 1:
+            n += 1
+        key = (tail[len(tail) - still[0][0] :] if still[0][0] else b"", tuple((size, last, w[n:]) for size, last, w in still))
+        if len(self.open) > self.max_states:
+            self._clear()
+            return self._state(key), paths[0][:n]
+        self.step[state][byte] = to = self._state(key), paths[0][:n]
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.last) > self.max_states:
-            self._clear()
-        state, path = 0, [0]
-        for end, byte in enumerate(piece, 1):
-            known = self.step[state].get(byte)
-            if known is None:
-                known = self._advance(piece, end, path)
-                self.step[state][byte] = known
-            state = known
-            path.append(state)
-        out, at = [], len(piece)
-        while at:
-            out.append(self.last[path[at]])
-            at -= len(self.bytes_of[out[-1]])
-        return out[::-1]
+        out: list[int] = []
+        state = 0
+        for byte in piece:
+            state, emitted = self.step[state].get(byte) or self._advance(state, byte)
+            if emitted:
+                out += emitted
+        out += self.open[state][1][-1][2]
+        return out
 
 
 class Encoder:
