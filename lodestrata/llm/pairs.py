@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +19,22 @@ from .common import is_blank
 
 #: What stands for no answer, without brackets and outer punctuation, in lower case.
 PLACEHOLDERS = ["none", "null", "n/a", "na", "nan", "nil", "undefined", "empty", "no answer", "no response", "keine antwort", "leer", "sans réponse", "pas de réponse", "vide", "sin respuesta", "vacío", "ninguna", "tbd", "todo"]
-#: Words that one of the four languages uses often and the others don't.
+#: Function words that one of the four languages uses often and the others don't; they label the rows that the profiles are fitted on.
 LANGUAGE_WORDS = {
-    "en": "the is and of for if with what which how does do should can my at are be to after before that this when only it its has was were from or not by why where run next between under each both no longer there then",
-    "de": "der die das und ist nicht wie welche warum wenn sie den dem ein eine auf für nach bei am zum wird muss zuerst ich was bleibt gilt liegt aus auch ohne mit von einer des im ja nein bis nur wählen reinigen stellen mindestens fällt zu zur oder sich",
-    "fr": "le les des et est pas sur quand quelle pourquoi comment dans pour une du au il faut vous ouvrez à avec après même sans ce cette ces ou où qui aux votre ne oui non jusqu soit doit être appareil valeur élément pièce quoi",
-    "es": "el los las y está del cómo qué por para cuando una con después sin debo primero lo hasta más al ya sí sea valor pieza equipo caso entre según queda tiene unos puede o su muy límite",
+    "en": "the is and of for if with what which how does do should can my at are be to after before that this when only it its has was were from or not by why where between under each both no there then",
+    "de": "der die das und ist nicht wie welche warum wenn sie den dem ein eine auf für nach bei am zum wird muss ich was gilt aus auch ohne mit von einer des im ja nein bis nur zu zur oder sich",
+    "fr": "le les des et est pas sur quand quelle pourquoi comment dans pour une du au il faut vous à avec après même sans ce cette ces ou où qui aux votre ne oui non soit doit être quoi",
+    "es": "el los las y está del cómo qué por para cuando una con después sin lo hasta más al ya sí sea entre según queda tiene unos puede o su",
 }
+LANGUAGES = sorted(LANGUAGE_WORDS)
+#: Rows whose letters fit the language profiles (the first by hash), and the cells of a profile.
+FIT_ROWS, CELLS = 20_000, 1 << 15
+#: Function words that label a text for fitting.
+LEAST_WORDS = 3
+#: Letters and blanks of an answer from which its language is judged by letters.
+LEAST_SIGNS = 10
+#: By how much (natural logarithm) the answer's letters must speak for another language than the question's, and the question's for its own.
+ANSWER_MARGIN, QUESTION_MARGIN = 6.0, 1.5
 #: How each language declines, and how it takes leave without saying more.
 REFUSES = (
     r"\b(?:can(?:'|’)?t|cannot|can not|unable to|not able to|won(?:'|’)t be able|must decline|(?:have|had) to decline|must refuse|rather not|outside what i may|no answer can be given|not (?:allowed|permitted) to|don(?:'|’)t feel able)\b"
@@ -33,8 +48,6 @@ TAKES_LEAVE = (
 )
 #: Words of an introduction that may stand before a copied question.
 INTRODUCTION_WORDS = 8
-#: Words of a question up to which tiles are laid; longer ones are compared word by word.
-TILED_WORDS = 200
 
 
 def _sentences(text: Column) -> Column:
@@ -50,94 +63,169 @@ def is_refusal(sentences: Column) -> Column:
 
 def is_empty(answer: Column) -> Column:
     """Null, blank, without letters and digits, or a placeholder, whatever signs stand around it."""
-    core = F.regexp_extract(F.lower(answer), r"^[^\p{L}\p{Nd}]*(.*?)[^\p{L}\p{Nd}]*$", 1)
-    return is_blank(answer) | ~answer.rlike(r"[\p{L}\p{Nd}]") | ((F.length(answer) <= 40) & core.isin(*PLACEHOLDERS))
+    core = F.regexp_replace(F.lower(answer), r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")
+    return is_blank(answer) | ~answer.rlike(r"[\p{L}\p{Nd}]") | core.isin(*PLACEHOLDERS)
 
 
-_WORD = re.compile(r"[^\W\d_]+")
-_LANGUAGE_SETS = {lang: frozenset(known.split()) for lang, known in LANGUAGE_WORDS.items()}
+_OTHERS = re.compile(r"[\W\d_]+")
+_LANGUAGE_SETS = [frozenset(LANGUAGE_WORDS[x].split()) for x in LANGUAGES]
 
 
-def _latin_share(text: str) -> tuple[int, int]:
-    """Letters of the Latin script and of others."""
-    letters = [c for c in text if c.isalpha()]
-    latin = sum(ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 for c in letters)
-    return latin, len(letters) - latin
+def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the runs of three letters and word ends of all texts, laid end to end, and where each text begins."""
+    padded = [f" {_OTHERS.sub(' ', t.lower()).strip()} " for t in texts]
+    signs = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in padded])
+    mixed = (signs[:-2] * np.uint64(1_000_003) + signs[1:-1]) * np.uint64(1_000_003) + signs[2:]
+    cells = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return np.concatenate([cells, [0, 0]]), np.cumsum(sizes) - sizes
 
 
-def is_other_language(question: str, answer: str) -> bool:
-    """The answer's words speak for another language than the question's, at least twice as often; or its script differs."""
-    q, a = ({lang: sum(w in known for w in words) for lang, known in _LANGUAGE_SETS.items()} for words in (_WORD.findall(question.lower()), _WORD.findall(answer.lower())))
-    of_q, of_a = max(q, key=q.get), max(a, key=a.get)
-    if q[of_q] >= 1 and a[of_a] >= 2 and of_a != of_q and a[of_a] >= 2 * a[of_q]:
-        return True
-    if question.isascii() and answer.isascii():
-        return False
-    (ql, qo), (al, ao) = _latin_share(question), _latin_share(answer)
-    return (ao > al) != (qo > ql) and al + ao >= 4
+def language_scores(texts: list[str], profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log probability of each text's letters under each language (texts x languages), and how many signs these are."""
+    cells, starts = _cells(texts)
+    return np.stack([np.add.reduceat(profile[cells], starts) for profile in profiles], axis=1), np.diff(starts, append=len(cells)) - 2
+
+
+def language_profiles(feedback: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
+    """Log probabilities of the cells for each language, fitted on a bounded sample: fit_rows rows, the first by hash.
+
+    A text is labelled by its function words, LEAST_WORDS at least and twice as many as any other language's; at most
+    CELLS numbers a language come to the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((len(LANGUAGES), CELLS), dtype=np.int64)
+        for batch in batches:
+            texts = [t for c in ("question", "answer") for t in batch[c] if t]
+            for t in texts:
+                words = _OTHERS.sub(" ", t.lower()).split()
+                votes = [sum(w in known for w in words) for known in _LANGUAGE_SETS]
+                best, second = sorted(votes)[-1], sorted(votes)[-2]
+                if best >= LEAST_WORDS and best >= 2 * second:
+                    np.add.at(counts[votes.index(best)], _cells([t])[0][:-2], 1)
+        lang, cell = np.nonzero(counts)
+        yield pd.DataFrame({"lang": lang, "cell": cell, "n": counts[lang, cell]})
+
+    sample = feedback.select("feedback_id", "question", "answer").orderBy(F.xxhash64("feedback_id"), "feedback_id").limit(fit_rows).select("question", "answer")
+    rows = sample.mapInPandas(run, "lang int, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.full((len(LANGUAGES), CELLS), 0.05)
+    counts[rows["lang"], rows["cell"]] += rows["n"]
+    return np.log(counts / counts.sum(axis=1, keepdims=True))
+
+
+@lru_cache(maxsize=10_000)
+def _script(sign: str) -> str:
+    """The script of a letter, by the first word of its Unicode name."""
+    return unicodedata.name(sign, "?").split(" ")[0].split("-")[0]
+
+
+def script_of(text: str) -> str | None:
+    """The script of most letters; None for fewer than four letters."""
+    if text.isascii():
+        return "LATIN" if sum(c.isalpha() for c in text) >= 4 else None
+    found = Counter(_script(c) for c in text if c.isalpha())
+    return max(found, key=lambda k: (found[k], k)) if found.total() >= 4 else None
+
+
+def other_languages(questions: list[str], answers: list[str], profiles: np.ndarray) -> np.ndarray:
+    """Whether each answer is written in another language than its question: by its letters, or by its script."""
+    if not questions:
+        return np.zeros(0, dtype=bool)
+    (q, _), (a, signs) = language_scores(questions, profiles), language_scores(answers, profiles)
+    own, other, rows = q.argmax(axis=1), a.argmax(axis=1), np.arange(len(q))
+    letters = (own != other) & (signs >= LEAST_SIGNS) & (a[rows, other] - a[rows, own] >= ANSWER_MARGIN) & (q[rows, own] - q[rows, other] >= QUESTION_MARGIN)
+    scripts = [False if x.isascii() and y.isascii() else None not in (pair := (script_of(x), script_of(y))) and pair[0] != pair[1] for x, y in zip(questions, answers, strict=True)]
+    return letters | np.array(scripts, dtype=bool)
 
 
 _TOKEN = re.compile(r"[^\W_]+")
-_SYMBOL = re.compile(r"```|[()\[\]{}“”„«»\"]")
-_OPENS = {"(": ")", "[": "]", "{": "}", "„": "“", "«": "»"}
+_SIGN = re.compile(r"```|<(/?)([a-z][a-z0-9]*)(?:\s[^<>]*)?>|[()\[\]{}“”„«»\"]", re.I)
+_OPENS = {"(": ")", "[": "]", "{": "}", "„": "“", "«": "»", '"': '"', "“": "”"}
 _QUANTITY = re.compile(r"[-+≈~]?\d+(?:[.,]\d+)?\s?\S{0,4}|\w+")
-_ITEM = re.compile(r"\s*(?:[-*•]|\d+[.)])(?:\s+(.*))?$")
-_MARKUP = re.compile(r"<(/?)([a-z][a-z0-9]*)(?:\s[^<>]*)?>", re.I)
+_ITEM = re.compile(r"\s*([-*•]|\d+[.)])(?:\s+(.*))?$")
 _VOID = {"br", "hr", "img", "input", "meta", "link"}
+_FENCE, _LISTED = "```", "item"
 
 
-def open_at_end(text: str) -> bool:
-    """A pushdown parser: whether a fence, bracket, quotation or element is still open where the text stops."""
+def parsed(text: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """A pushdown parser: what is still open where the text stops, innermost last, and the items of the list that is open.
+
+    One stack holds fences, brackets, quotations, elements and list items. A fence hides all else; an element's end closes
+    what was left open inside it; an item is closed by the next item or by another line that isn't blank.
+    """
     stack: list[str] = []
-    for m in _SYMBOL.finditer(text):
-        s = m.group()
-        if s == "```":
-            if "```" in stack:
-                while stack.pop() != "```":
-                    pass
-            else:
-                stack.append(s)
-        elif "```" in stack:
-            continue
-        elif stack and s == stack[-1]:
-            stack.pop()
-        elif s in _OPENS:
-            stack.append(_OPENS[s])
-        elif s == '"':
-            stack.append('"')
-        elif s == "“":
-            stack.append("”")
-    elements: list[str] = []
-    for m in _MARKUP.finditer(text):
-        name = m.group(2).lower()
-        if m.group(1):
-            while elements and elements.pop() != name:
-                pass
-        elif name not in _VOID:
-            elements.append(name)
-    return bool(stack or elements)
+    items: list[tuple[str, str]] = []
+    for line in text.split("\n"):
+        if line.strip() and _FENCE not in stack:
+            item = _ITEM.match(line)
+            if stack and stack[-1] == _LISTED:
+                stack.pop()
+            if item:
+                items.append((item.group(1), (item.group(2) or "").strip()))
+                stack.append(_LISTED)
+            elif not line.startswith((" ", "\t")):
+                items = []
+        for m in _SIGN.finditer(line):
+            sign, name = m.group(), (m.group(2) or "").lower()
+            if sign == _FENCE:
+                if _FENCE in stack:
+                    while stack.pop() != _FENCE:
+                        pass
+                else:
+                    stack.append(_FENCE)
+            elif _FENCE in stack:
+                continue
+            elif name:
+                if m.group(1):
+                    if f"<{name}" in stack:
+                        while stack.pop() != f"<{name}":
+                            pass
+                elif name not in _VOID:
+                    stack.append(f"<{name}")
+            elif stack and sign == stack[-1]:
+                stack.pop()
+            elif sign in _OPENS:
+                stack.append(_OPENS[sign])
+    return stack, items
+
+
+def open_at_end(text: str) -> bool:
+    """Whether a fence, bracket, quotation or element is still open where the text stops."""
+    return any(x != _LISTED for x in parsed(text)[0])
+
+
+def _item_shape(body: str) -> list[str]:
+    """The parts of a list item in order: words, colon, number, unit, end mark."""
+    label, colon, value = body.rpartition(":") if re.search(r":\s*\S", body) else (body, "", "")
+    shape = ["words"] if label.strip() else []
+    if colon:
+        number = re.match(r"\s*\d+(?:[.,]\d+)?", value)
+        shape += ["colon", *(["number", *["unit"] * bool(value[number.end() :].strip(" .!?"))] if number else ["words"])]
+    return shape + ["end"] * bool(re.search(r"[.!?)\]»”\"]$", body))
+
+
+def _item_stops(items: list[tuple[str, str]]) -> bool:
+    """The last item has less than one before it: its shape is a beginning of theirs."""
+    own, others = _item_shape(items[-1][1]), [_item_shape(b) for _, b in items[:-1]]
+    return own not in others and any(len(own) < len(x) and x[: len(own)] == own for x in others)
 
 
 def is_truncated(text: str) -> bool:
     """The text stops inside a sentence, bracket, list item or code block."""
-    if open_at_end(text):
+    stack, items = parsed(text)
+    if any(x != _LISTED for x in stack):
         return True
-    lines = [x for x in text.rstrip().split("\n") if x.strip()]
-    if not lines or text.rstrip().endswith("```"):
+    end = text.rstrip()
+    if not end or end.endswith(_FENCE):
         return False
-    last = lines[-1].strip()
-    item = _ITEM.match(last)
-    if item:
-        body = (item.group(1) or "").strip()
+    last = end[end.rfind("\n") + 1 :].strip()
+    if stack:
+        marker, body = items[-1]
         if not body or body.endswith(":"):
             return True
-        if last[0] in "-*•":
-            others = [m.group(1) or "" for m in map(_ITEM.match, lines[:-1]) if m]
-            pattern = lambda x: bool(re.search(r":\s*\S", x))
-            if any(map(pattern, others)) or pattern(body):
-                value = body.rpartition(":")[2].strip()
-                return not pattern(body) or any(re.search(r":\s*\d+\s\S", x) for x in others) and not re.search(r"\d\s?\S*[^\d\s]", value)
-            return not re.search(r"[.!?)\]»”\"]$", body) and any(re.search(r"[.!?]$", x) for x in others)
+        if marker in "-*•":
+            return _item_stops(items)
         last = body
     if re.search(r"https?://\S{6,}$|www\.\S+$", last):
         return False
@@ -150,62 +238,110 @@ def is_truncated(text: str) -> bool:
     return not _QUANTITY.fullmatch(last)
 
 
-def _is_long_copy(q: list[str], a: list[str]) -> bool:
-    """The same for long questions in linear time: after an introduction, the question but for one word at most."""
-    for skip in range(min(INTRODUCTION_WORDS, len(a)) + 1):
-        rest = a[skip:]
-        if len(rest) not in (len(q), len(q) - 1):
-            continue
-        front = next((i for i, (x, y) in enumerate(zip(q, rest, strict=False)) if x != y), len(rest))
-        if rest == q or len(rest) == len(q) - 1 and q[front + 1 :] == rest[front:]:
-            return True
-    return False
+class _Automaton:
+    """The suffix automaton of a list of words: for each place of another list the longest run of words that ends there in both."""
+
+    def __init__(self, words: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size, self.end = [-1], [0], [-1]
+        last = 0
+        for i, w in enumerate(words):
+            now = self._add({}, self.size[last] + 1, i)
+            p = last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = now
+                p = self.link[p]
+            if p < 0:
+                self.link[now] = 0
+            else:
+                q = self.next[p][w]
+                if self.size[q] == self.size[p] + 1:
+                    self.link[now] = q
+                else:
+                    twin = self._add(dict(self.next[q]), self.size[p] + 1, self.end[q])
+                    self.link[twin] = self.link[q]
+                    while p >= 0 and self.next[p].get(w) == q:
+                        self.next[p][w] = twin
+                        p = self.link[p]
+                    self.link[q] = self.link[now] = twin
+            last = now
+
+    def _add(self, edges: dict[str, int], size: int, end: int) -> int:
+        self.next.append(edges)
+        self.link.append(0)
+        self.size.append(size)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def runs(self, words: list[str]) -> list[tuple[int, int]]:
+        """For each place its longest run and where that ends in the words of the automaton."""
+        out, state, n = [], 0, 0
+        for w in words:
+            while state and w not in self.next[state]:
+                state = self.link[state]
+                n = self.size[state]
+            if w in self.next[state]:
+                state, n = self.next[state][w], n + 1
+            else:
+                n = 0
+            out.append((n, self.end[state]))
+        return out
 
 
-def is_copy(question: str, answer: str) -> bool:
-    """Greedy string tiling: the longest runs of words that both share are laid as tiles, largest first.
+def tiles(q: list[str], a: list[str], least: int) -> tuple[list[bool], list[bool]]:
+    """Greedy string tiling: which words of q the tiles cover, and which of a; the longest common runs are laid first.
 
-    A copy has tiles over all words of the question but one at most, once or more, and nothing else than an introduction.
+    Words of q may be covered again, those of a once. A run that meets a tile keeps what is left of it and waits for its turn.
     """
+    covered, used = [False] * len(q), [False] * len(a)
+    ends = _Automaton(q).runs(a)
+    waiting = [(-n, j - n + 1, j) for j, (n, _) in enumerate(ends) if n >= least]
+    heapq.heapify(waiting)
+    laid: list[int] = []
+    while waiting:
+        n, start, j = heapq.heappop(waiting)
+        if used[j]:
+            continue
+        before = bisect.bisect_right(laid, j)
+        free = laid[before - 1] + 1 if before else 0
+        if free > start:
+            if j - free + 1 >= least:
+                heapq.heappush(waiting, (free - j - 1, free, j))
+            continue
+        used[start : j + 1] = [True] * -n
+        covered[ends[j][1] + n + 1 : ends[j][1] + 1] = [True] * -n
+        bisect.insort(laid, j)
+    return covered, used
+
+
+def is_copy(question: str, answer: str) -> bool:
+    """The answer is the question: tiles lie over all its words but one at most, once or more, and besides the answer has an
+    introduction at most. The same rule holds for any length."""
     q, a = _TOKEN.findall(question.lower()), _TOKEN.findall(answer.lower())
-    if not q or len(a) > 4 * len(q) + INTRODUCTION_WORDS or len(a) < max(1, len(q) - 1):
+    known = set(q)
+    if not q or len(a) < max(1, len(q) - 1) or not all(map(known.__contains__, a[INTRODUCTION_WORDS:])):
         return False
-    if len(q) > TILED_WORDS:
-        return _is_long_copy(q, a)
-    used = [False] * len(a)
-    covered = [False] * len(q)
-    while True:
-        best = (0, 0, 0)
-        for i in range(len(q)):
-            for j in range(len(a)):
-                n = 0
-                while i + n < len(q) and j + n < len(a) and q[i + n] == a[j + n] and not used[j + n]:
-                    n += 1
-                best = max(best, (n, -i, -j))
-        n, i, j = best[0], -best[1], -best[2]
-        if n < (2 if len(q) > 2 else 1):
-            break
-        used[j : j + n] = [True] * n
-        covered[i : i + n] = [True] * n
+    covered, used = tiles(q, a, 2 if len(q) > 2 else 1)
+    at = {w: i for i, w in reversed(list(enumerate(q)))}
     for j, w in enumerate(a):
-        if not used[j] and w in q and any(used[max(0, j - 1) : j + 2]):
-            used[j] = True
-            covered[q.index(w)] = True
+        if not used[j] and w in at and any(used[max(0, j - 1) : j + 2]):
+            used[j] = covered[at[w]] = True
     if covered.count(False) > (1 if len(q) > 2 else 0) or not any(used):
         return False
     first = used.index(True)
     return first <= INTRODUCTION_WORDS and all(used[first:])
 
 
-def _shape(question: Column, answer: Column) -> Column:
-    """copied, truncated, other_language or null, by tiling, parser and words, in batches."""
+def _shape(question: Column, answer: Column, profiles: np.ndarray) -> Column:
+    """copied, truncated, other_language or null, by tiling, parser and letters, in batches."""
 
     @F.pandas_udf("string")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for questions, answers in parts:
-            yield pd.Series(["copied" if is_copy(q, a) else "truncated" if is_truncated(a) else "other_language" if is_other_language(q, a) else None for q, a in zip(questions, answers, strict=True)], dtype=object)
+            other = other_languages(list(questions), list(answers), profiles)
+            yield pd.Series(["copied" if is_copy(q, a) else "truncated" if is_truncated(a) else "other_language" if o else None for q, a, o in zip(questions, answers, other, strict=True)], dtype=object)
 
-    return run(question, answer)
+    return run.asNondeterministic()(question, answer)  # else the filter behind it would run it a second time
 
 
 def defective_pairs(feedback: DataFrame) -> DataFrame:
@@ -215,7 +351,7 @@ def defective_pairs(feedback: DataFrame) -> DataFrame:
     case; a null answer is empty; repeated rows count each; an empty table gives an empty result; other columns are ignored.
     """
     rows = feedback.where(~is_blank(F.col("question"))).select("feedback_id", "question", "answer", "rating")
-    rows = rows.withColumn("shape", _shape(F.col("question"), F.coalesce("answer", F.lit(""))))
+    rows = rows.withColumn("shape", _shape(F.col("question"), F.coalesce("answer", F.lit("")), language_profiles(feedback)))
     rows = rows.withColumn("first", F.when(is_empty(F.col("answer")), "empty").when(is_refusal(_sentences(F.col("answer"))), "refusal"))
     defect = F.coalesce(F.when(F.col("first") == "empty", "empty"), F.when(F.col("shape") == "copied", "copied"), F.col("first"), F.col("shape"))
     return rows.select("feedback_id", "question", "answer", "rating", defect.alias("defect"))

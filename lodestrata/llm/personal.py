@@ -21,6 +21,12 @@ _WORD = rf"[{_CAP}][\w'’]+(?:-[{_CAP}][\w'’]+)*"
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 EMAIL = re.compile(rf"[\w.+%-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w@])|[\w.+%-]*\w\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+[A-Za-z]{{2,}}\b")
+#: What every address but a written-out one holds, and the words before it; the written-out one.
+_SIGN_AT = re.compile(r"@|[\[({]\s?at\s?[\])}]")
+_BEFORE_AT = re.compile(r"[\w.+%-]*\w\s?$")
+_WORD_DOT = re.compile(r"\sdot\s")
+#: Where a number can be: a run of the signs that the forms below are made of, with two digits at least.
+_RUN = re.compile(r"[+(]?[A-Z0-9](?:[A-Z0-9+().,/-]| (?=[A-Z0-9+(/]))*[0-9)](?:[A-Z0-9+()./-]| (?=[A-Z0-9+(/]))*")
 #: Written forms of telephone numbers and the score that the form alone has.
 PHONES = [
     (re.compile(r"(?<![\w.+])\+\d{1,3}(?:[ .-]?\(0\)[ .-]?|[ .-])?\(?\d{1,4}\)?(?:[ .-]?\d{1,10}){1,5}(?![\w-])"), 1.0),
@@ -65,6 +71,10 @@ TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "herrn", "frau", "mme
 NOT_GIVEN = TITLES | {"dear", "el", "la", "los", "las", "the", "le", "les", "hello", "hi", "hallo", "liebe", "lieber", "bonjour", "hola", "cher", "chère", "contact", "call", "regards", "saludo", "grüßen", "cordialement", "mail", "from", "to", "by", "for", "photo", "pickup", "visitor", "our", "please", "unit", "suite", "der", "die", "das", "un", "une", "una", "m"}
 
 
+#: What every address ends in: a postcode, before or behind a town.
+_POSTCODE = re.compile(r"\d(?:\d{4}(?!\d)|[A-Z]? \d[A-Z]{2}(?!\w))")
+
+
 def luhn(number: str) -> bool:
     digits = [int(c) for c in number if c.isdigit()][::-1]
     return len(digits) >= 13 and sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
@@ -75,24 +85,63 @@ def mod97(number: str) -> bool:
     return bool(re.fullmatch(r"[A-Z]{2}\d\d[A-Z0-9]{8,30}", flat)) and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+#: Forms that a checksum decides: groups of four digits of a card, and the beginning of an account number.
+_CARD, _ACCOUNT = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}"), re.compile(r"[A-Z]{2}\d\d(?: [A-Z0-9]{1,4}){3,}")
+
+
+def _checked(number: str) -> float:
+    """What the checksums add: they confirm a number, and refuse one that is written as a card or account but fails."""
+    if luhn(number) or mod97(number):
+        return 0.8
+    return -2.0 if _CARD.fullmatch(number) or _ACCOUNT.fullmatch(number) else 0.0
+
+
 Span = tuple[str, int, int, float, str, str]
 
 
+def _emails(text: str) -> Iterator[re.Match]:
+    """The matches of EMAIL, looked for only where its sign stands."""
+    if _WORD_DOT.search(text):
+        yield from EMAIL.finditer(text)
+        return
+    done = 0
+    for sign in _SIGN_AT.finditer(text):
+        at, reach = sign.start(), 64
+        if at < done:
+            continue
+        local = _BEFORE_AT.search(text, max(done, at - reach), at)
+        while local and local.start() == at - reach > done:
+            reach *= 4
+            local = _BEFORE_AT.search(text, max(done, at - reach), at)
+        found = EMAIL.match(text, local.start()) if local else None
+        if found:
+            yield found
+            done = found.end()
+
+
 def _numbers(text: str) -> Iterator[Span]:
-    """Identity numbers and telephone numbers: form, checksum and the words before make the score."""
-    for pattern, score in IDENTITIES:
-        for m in pattern.finditer(text):
-            before = text[max(0, m.start() - 45) : m.start()]
-            score_here = score + 1.0 * bool(FOR_IDENTITY.search(before)) - 1.0 * bool(AGAINST_IDENTITY.search(before)) + 0.8 * (luhn(m.group()) or mod97(m.group()))
-            if score_here >= LEAST_SCORE:
-                yield "identity_number", m.start(), m.end(), score_here + 1, "", ""
-    for pattern, score in PHONES:
-        for m in pattern.finditer(text):
-            if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
-                before = text[max(0, m.start() - 30) : m.start()]
-                score_here = score + 0.5 * bool(re.search(r"(?:tel|call|phone|fax|voice|on|au|al|unter|mobile|llame a|rückruf)\W*$", before, re.I)) - 1.0 * bool(AGAINST_IDENTITY.search(before) or FOR_IDENTITY.search(before))
+    """Identity numbers and telephone numbers: form, checksum and the words before make the score.
+
+    Forms are tried only on the runs of signs that numbers are made of.
+    """
+    for run in _RUN.finditer(text):
+        lo, hi = run.start(), run.end()
+        digits = sum(map(run.group().count, "0123456789"))
+        if hi - lo < 6 or digits < 2:
+            continue
+        for pattern, score in IDENTITIES:
+            for m in pattern.finditer(text, lo, hi + 3):
+                before = text[max(0, m.start() - 45) : m.start()]
+                score_here = score + 1.0 * bool(FOR_IDENTITY.search(before)) - 1.0 * bool(AGAINST_IDENTITY.search(before)) + _checked(m.group())
                 if score_here >= LEAST_SCORE:
-                    yield "phone", m.start(), m.end(), score_here, "", ""
+                    yield "identity_number", m.start(), m.end(), score_here + 1, "", ""
+        for pattern, score in PHONES if digits >= 8 else ():
+            for m in pattern.finditer(text, lo, hi + 3):
+                if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+                    before = text[max(0, m.start() - 30) : m.start()]
+                    score_here = score + 0.5 * bool(re.search(r"(?:tel|call|phone|fax|voice|on|au|al|unter|mobile|llame a|rückruf)\W*$", before, re.I)) - 1.0 * bool(AGAINST_IDENTITY.search(before) or FOR_IDENTITY.search(before))
+                    if score_here >= LEAST_SCORE:
+                        yield "phone", m.start(), m.end(), score_here, "", ""
 
 
 _NAME_TOKEN = re.compile(rf"(?<![\w'’-])(?:{_WORD}|[{_CAP}]\.)(?!\w)")
@@ -131,8 +180,8 @@ def _names(text: str, given: frozenset[str]) -> Iterator[Span]:
 
 def proposed(text: str, given: frozenset[str]) -> list[Span]:
     """Spans of one text without overlaps; of spans that overlap the one with the highest score, then the longest, stays."""
-    found: list[Span] = [("email", m.start(), m.end(), 5.0, "", "") for m in EMAIL.finditer(text)]
-    for pattern in ADDRESSES:
+    found: list[Span] = [("email", m.start(), m.end(), 5.0, "", "") for m in _emails(text)]
+    for pattern in ADDRESSES if _POSTCODE.search(text) else ():
         found += [("address", m.start(), m.end(), 4.0, "", "") for m in pattern.finditer(text)]
     found += _numbers(text)
     kept: list[Span] = []
