@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,16 +17,24 @@ from ..session import checkpointed, join_checked
 PART_SECONDS = 300
 #: Cue ids that are ordered together where the start is missing.
 PART_CUES = 5000
-#: Cues from which the tagger is fitted: the first by hash, so the same at any partitioning.
-FIT_CUES = 20_000
+#: Cues from which the tagger is fitted: the first by hash, so the same at any partitioning; rounds of the fit.
+FIT_CUES, FIT_ROUNDS = 20_000, 6
 STATES = ["speaker", "timestamp", "annotation", "filler", "speech"]
-OBSERVED = ["clock", "note", "tag", "arrow", "name", "namec", "role", "sep", "filler", "word"]
 #: Sounds that fill a pause, in the four languages.
 FILLER = re.compile(r"(?:u+h*m*|u+h+|e+r+m*|e+h+m*|ä+h*m*|ä+h+|h+m+|m+h*m+|a+h+|e+u+h+|e+h+|ö+h*m*|pff+|ahem|este|mhm)", re.I)
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _TOKENS = re.compile(rf"<v(?:\.\S+)? [^>]*>|<[^>]*>|\[[^\]]*\]|\([^)]*\):?|\{{[^}}]*\}}|♪[^♪]*♪?|\*[^*\s][^*]*\*|>>+|(?<!\w)(?:speaker|spk|sprecher|locuteur|orador|hablante)[ _#-]?\d+\s?:?|{_CLOCK}(?!\w)|\S+", re.I)
 _NUMBERED = re.compile(r"(?:speaker|spk|sprecher|locuteur|orador|hablante)[ _#-]?0*(\d+)", re.I)
 _BARE = re.compile(r"^[^\w]+|[^\w.]+$")
+_CLOCK_TOKEN = re.compile(rf"[\[(<{{]?\s*{_CLOCK}\s*[\])>}}]?")
+_PLAIN = re.compile(r"[^\W\d_]{2,}[.,]?")
+
+
+@lru_cache(maxsize=200_000)
+def _plain_core(token: str) -> str | None:
+    """The word of a token that can only be a word or a name; None for all that has to be looked at."""
+    core = token.rstrip(".,").lower()
+    return core if _PLAIN.fullmatch(token) and not FILLER.fullmatch(core) else None
 
 
 @lru_cache(maxsize=4096)
@@ -61,8 +69,12 @@ def observed(line: str, names: tuple[tuple[int, str], ...]) -> list[tuple[str, s
     out: list[tuple[str, str]] = []
     for m in _TOKENS.finditer(line):
         t = m.group()
+        core = _plain_core(t)
+        if core is not None and core not in words:
+            out.append((t, "word"))
+            continue
         core = _BARE.sub("", t).lower()
-        if re.fullmatch(rf"[\[(<{{]?\s*{_CLOCK}\s*[\])>}}]?", t):
+        if _CLOCK_TOKEN.fullmatch(t):
             kind = "clock"
         elif t[0] in "[(<{" and t[-1] in "])>}:" and len(t) > 2:
             if t[-1] == ":" and out and out[-1][1] in ("name", "tag"):
@@ -93,50 +105,90 @@ def observed(line: str, names: tuple[tuple[int, str], ...]) -> list[tuple[str, s
     return out
 
 
-def seeded(kinds: list[str]) -> list[str]:
-    """Labels for fitting, from what is clear in itself or from its neighbours."""
-    plain = {"clock": "timestamp", "note": "annotation", "tag": "speaker", "filler": "filler", "word": "speech", "namec": "speaker"}
-    out: list[str] = []
+#: What some classes mean by themselves; names, roles, arrows and signs between them mean a speaker or belong to what is said.
+CLEAR = {"clock": "timestamp", "note": "annotation", "tag": "speaker", "filler": "filler", "word": "speech", "namec": "speaker"}
+_OPEN = ("speaker", "speech")
+AHEAD, BACK = ["namec", "sep", "role", "word", "end"], ["start", "name", "namec", "tag", "arrow", "role", "other"]
+
+
+def symbols(kinds: tuple[str, ...]) -> tuple[str, ...]:
+    """What the model sees of each token: its class and, where that is open, the next class that isn't a name and, for signs and roles, the class before."""
+    out = []
     for i, k in enumerate(kinds):
-        if k in plain:
-            out.append(plain[k])
-        elif k in ("sep", "role"):
-            out.append("speaker" if out and out[-1] == "speaker" else "speech")
-        else:
-            ahead = next((x for x in kinds[i + 1 :] if x not in ("name",)), "")
-            out.append("speaker" if ahead in ("namec", "sep", "role") or k == "arrow" and kinds[i + 1 : i + 2] in (["name"], ["namec"], ["tag"]) else "speech")
-    return out
+        if k in CLEAR:
+            out.append(k)
+            continue
+        ahead = next((x for x in kinds[i + 1 :] if x != "name"), "end")
+        seen = f"{k} {ahead if ahead in AHEAD else 'word'}"
+        if k in ("sep", "role"):
+            seen += f" {'start' if i == 0 else kinds[i - 1] if kinds[i - 1] in BACK else 'other'}"
+        out.append(seen)
+    return tuple(out)
+
+
+def _all_symbols() -> list[str]:
+    return [*CLEAR, *(f"{k} {a}" for k in ("name", "arrow") for a in AHEAD), *(f"{k} {a} {b}" for k in ("sep", "role") for a in AHEAD for b in BACK)]
 
 
 class Tagger:
-    """A hidden Markov model over the classes of tokens: start, step and look hold log probabilities."""
+    """A hidden Markov model over what is seen of the tokens of a line; clear classes have their one label.
+
+    counts holds the expected starts, steps and observations; without any it knows nothing but the clear classes.
+    """
 
     def __init__(self, counts: dict[tuple[str, str, str], float]):
-        self.start = self._log({s: counts.get(("start", s, ""), 0.0) for s in STATES})
-        self.step = {a: self._log({b: counts.get(("step", a, b), 0.0) for b in STATES}) for a in STATES}
-        self.look = {a: self._log({o: counts.get(("look", a, o), 0.0) for o in OBSERVED}) for a in STATES}
+        self.seen = {x: i for i, x in enumerate(_all_symbols())}
+        self.start = self._share(np.array([counts.get(("start", s, ""), 0.0) for s in STATES]))
+        self.step = self._share(np.array([[counts.get(("step", a, b), 0.0) for b in STATES] for a in STATES]))
+        self.look = self._share(np.array([[counts.get(("look", a, o), 0.0) for o in self.seen] for a in STATES]))
+        may = np.array([[CLEAR.get(o.split(" ")[0], s) == s and (o in CLEAR or s in _OPEN) for o in self.seen] for s in STATES])
+        self.look = self.look * may
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(self.start), np.log(self.step), np.log(self.look)
 
     @staticmethod
-    def _log(row: dict[str, float]) -> dict[str, float]:
-        total = sum(row.values()) + 0.1 * len(row)
-        return {k: math.log((v + 0.1) / total) for k, v in row.items()}
+    def _share(n: np.ndarray) -> np.ndarray:
+        return (n + 0.1) / (n + 0.1).sum(axis=-1, keepdims=True)
 
     def decode(self, kinds: tuple[str, ...]) -> tuple[str, ...]:
         """The most likely labels (Viterbi)."""
         if not kinds:
             return ()
-        score = {s: self.start[s] + self.look[s][kinds[0]] for s in STATES}
-        back: list[dict[str, str]] = []
-        for k in kinds[1:]:
-            best = {b: max(STATES, key=lambda a: score[a] + self.step[a][b]) for b in STATES}
-            score = {b: score[best[b]] + self.step[best[b]][b] + self.look[b][k] for b in STATES}
-            back.append(best)
-        state = max(STATES, key=lambda s: score[s])
-        path = [state]
+        start, step, look = self.logs
+        at = [self.seen[x] for x in symbols(kinds)]
+        score, back = start + look[:, at[0]], []
+        for o in at[1:]:
+            ways = score[:, None] + step
+            back.append(ways.argmax(axis=0))
+            score = ways.max(axis=0) + look[:, o]
+        path = [int(score.argmax())]
         for best in reversed(back):
-            state = best[state]
-            path.append(state)
-        return tuple(reversed(path))
+            path.append(int(best[path[-1]]))
+        return tuple(STATES[i] for i in reversed(path))
+
+    def expected(self, sequences: Iterator[tuple[str, int]]) -> dict[tuple[str, str, str], float]:
+        """Expected counts over sequences of symbols (joined by |) and how often each occurs (forward and backward pass)."""
+        starts, steps, looks = np.zeros(len(STATES)), np.zeros((len(STATES),) * 2), np.zeros(self.look.shape)
+        for joined, n in sequences:
+            at = [self.seen[x] for x in joined.split("|")]
+            emit = self.look[:, at].T
+            forward, scale = np.zeros(emit.shape), np.zeros(len(at))
+            for i, e in enumerate(emit):
+                forward[i] = (forward[i - 1] @ self.step if i else self.start) * e
+                scale[i] = forward[i].sum()
+                forward[i] /= scale[i]
+            later = np.ones(len(STATES))
+            looks[:, at[-1]] += n * forward[-1]
+            for i in range(len(at) - 2, -1, -1):
+                ahead = emit[i + 1] * later / scale[i + 1]
+                steps += n * forward[i][:, None] * self.step * ahead[None, :]
+                later = self.step @ ahead
+                looks[:, at[i]] += n * forward[i] * later
+            starts += n * forward[0] * later
+        out = {("start", s, ""): starts[i] for i, s in enumerate(STATES)}
+        out |= {("step", a, b): steps[i, j] for i, a in enumerate(STATES) for j, b in enumerate(STATES)}
+        out |= {("look", a, o): looks[i, j] for i, a in enumerate(STATES) for o, j in self.seen.items()}
+        return {k: float(v) for k, v in out.items() if v > 0}
 
 
 def segments(lines: list[str], names: tuple[tuple[int, str], ...], decode) -> list[tuple[int | None, bool, str]]:
@@ -196,23 +248,32 @@ def _pairs(names) -> tuple[tuple[int, str], ...]:
     return tuple((int(x["speaker_no"]), x["display_name"] or "") for x in names) if names is not None else ()
 
 
-def fitted(named: DataFrame, fit_cues: int = FIT_CUES) -> dict[tuple[str, str, str], float]:
-    """Counts of starts, steps and observations over a bounded sample (fit_cues cues, the first by hash), at most 80 numbers."""
+def fitted(named: DataFrame, fit_cues: int = FIT_CUES, rounds: int = FIT_ROUNDS) -> dict[tuple[str, str, str], float]:
+    """Expected counts of starts, steps and observations, fitted by expectation maximisation on a bounded sample (fit_cues cues, the first by hash).
+
+    No token is labelled beforehand but those of a clear class: what names, signs, roles and arrows mean is learnt from
+    where they stand. Equal sequences are counted first; each round is a pass over these, of which a few hundred numbers come back.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[tuple[str, str, str], float] = {}
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lines, names in zip(batch["lines"], batch["names"], strict=True):
-                for line in lines:
-                    kinds = [k for _, k in observed(line, _pairs(names))]
-                    labels = seeded(kinds)
-                    for key in [("start", labels[0], "")] * bool(labels) + [("step", a, b) for a, b in zip(labels, labels[1:], strict=False)] + [("look", a, o) for a, o in zip(labels, kinds, strict=True)]:
-                        counts[key] = counts.get(key, 0.0) + 1
-        yield pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["kind", "a", "b", "n"])
+            kinds = (tuple(k for _, k in observed(line, _pairs(names))) for lines, names in zip(batch["lines"], batch["names"], strict=True) for line in lines)
+            yield pd.DataFrame({"seen": ["|".join(symbols(k)) for k in kinds if k]}, dtype=object)
 
     sample = named.orderBy(F.xxhash64("video_id", "cue_id"), "cue_id").limit(fit_cues).select("lines", "names")
-    rows = sample.mapInPandas(run, "kind string, a string, b string, n double").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
-    return {(r.kind, r.a, r.b): r.n for r in rows}
+    sequences = checkpointed(sample.mapInPandas(seen, "seen string").groupBy("seen").agg(F.count(F.lit(1)).alias("n")))
+    counts: dict[tuple[str, str, str], float] = {}
+    for _ in range(rounds):
+        tagger = Tagger(counts)
+
+        def count(batches: Iterator[pd.DataFrame], tagger: Tagger = tagger) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = tagger.expected(zip(batch["seen"], batch["n"], strict=True))
+                yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["kind", "a", "b", "n"])
+
+        rows = sequences.mapInPandas(count, "kind string, a string, b string, n double").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+        counts = {(r.kind, r.a, r.b): r.n for r in rows}
+    return counts
 
 
 def spoken(cues: DataFrame, speakers: DataFrame, fit_cues: int = FIT_CUES) -> DataFrame:
