@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters that count as white space or invisible, as a regular expression class body (Java and RE2).
@@ -19,6 +19,16 @@ def lines_of(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 
-def stored_once(chunks: DataFrame, *keep: str) -> DataFrame:
-    """Chunks stored again under the same point_id come once."""
-    return chunks.select("point_id", *keep).dropDuplicates(["point_id"])
+def before(df: DataFrame, key: str, value: Column | str, out: str, order: list[str]) -> DataFrame:
+    """df with out: the last value that isn't null in the rows before, by key and order.
+
+    Rows are ordered within parts of a key (the column part, which rises with order); what a part hands on goes through
+    one row a part, so a key with a third of all rows is many tasks.
+    """
+    rows = df.withColumn("_value", F.col(value) if isinstance(value, str) else value)
+    inside = Window.partitionBy(key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    handed = rows.groupBy(key, "part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_last"))
+    parts = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = handed.select(key, "part", F.last("_last", ignorenulls=True).over(parts).alias("_handed"))
+    local = rows.withColumn("_local", F.last("_value", ignorenulls=True).over(inside)).drop("_value")
+    return local.join(handed, [key, "part"], "left").withColumn(out, F.coalesce("_local", "_handed")).drop("_local", "_handed")

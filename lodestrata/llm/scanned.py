@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, join_checked
-from .common import is_blank
+from .common import before, is_blank
 
-#: Lines at the top and at the bottom of a page where headers and page numbers are looked for.
+#: Filled lines at the top and at the bottom of a page where a running header or page number stands: what recurs further inside is
+#: body (searching all lines gave 566 more rows at sf0.1, body lines and lists, and none of the rest).
 TOP_LINES, BOTTOM_LINES = 2, 3
 #: Pages, and share of a source's pages, on which a header or a count of page numbers must show.
 MIN_PAGES, MIN_SHARE, NUMBER_SHARE = 2, 0.25, 0.05
@@ -16,10 +17,12 @@ MIN_PAGES, MIN_SHARE, NUMBER_SHARE = 2, 0.25, 0.05
 TIMES, MIN_COUNT = 8, 5
 #: The same for spellings with a sign inside that no word has.
 ODD_TIMES, ODD_COUNT = 1, 3
-#: The same where no neighbour supports the form, and the forms of a skeleton to choose from.
-ALONE_TIMES, CHOICES = 8, 3
+#: The same where no neighbour supports the form.
+ALONE_TIMES = 8
 #: Occurrences from which a word counts as known.
 KNOWN = 3
+#: Pages of a source that are ordered together.
+PART_PAGES = 500
 #: Signs that stand for a hyphen at the end of a line.
 HYPHENS = "-~­‐‑¬_"
 #: Words after which a hyphen is one of its own (two- or three-core).
@@ -28,7 +31,7 @@ JOINING = ["and", "or", "to", "und", "oder", "bis", "et", "ou", "y", "o", "e", "
 CONFUSED = ("l1!|jceft@0q59hb86$", "iiiiieettaoosgbbbbs")
 
 _LETTER = r"\p{L}\p{N}@!|"
-_N = r"[0-9OoIl|SBZ]{1,4}"
+_N = r"[0-9OoIl|SBZ]{1,6}"
 
 
 def skeleton(word: Column) -> Column:
@@ -45,7 +48,7 @@ def skeleton(word: Column) -> Column:
 
 def _roman(n: int) -> str:
     out = ""
-    for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+    for value, sign in ((900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
         out, n = out + sign * (n // value), n % value
     return out
 
@@ -62,7 +65,7 @@ def page_form(text: Column) -> Column:
         "slash": rf"^({_N})\s?/\s?{_N}$",
         "plain": rf"^({_N})$",
     }
-    romans = F.create_map(*[F.lit(x) for n in range(1, 100) for x in (_roman(n), n)])
+    romans = F.create_map(*[F.lit(x) for n in range(1, 1000) for x in (_roman(n), n)])
     picked = [F.when(text.rlike(p), F.struct(F.lit(k).alias("way"), number(F.regexp_extract(text, p, 1)).alias("n"))) for k, p in ways.items()]
     picked.append(F.when(romans[F.lower(text)].isNotNull(), F.struct(F.lit("roman").alias("way"), romans[F.lower(text)].alias("n"))))
     return F.coalesce(*picked)
@@ -176,18 +179,23 @@ def broken_words(lines: DataFrame) -> DataFrame:
 def word_counts(lines: DataFrame) -> DataFrame:
     """word (lower case), n over all running lines, without the pieces of broken words."""
     words = F.split(F.trim("line"), " ")
-    inner = F.when(F.col("continued"), F.slice(words, 2, 100000)).otherwise(words)
+    inner = F.when(F.col("continued"), F.slice(words, 2, F.size(words))).otherwise(words)
     rows = lines.select(F.explode(inner).alias("w"), (_mark(F.col("line")) != "").alias("broken"), F.substring_index(F.rtrim("line"), " ", -1).alias("last"))
     counted = rows.where(~(F.col("broken") & (F.col("w") == F.col("last")))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy(F.lower(_bare(F.col("w"))).alias("word")).agg(F.sum("n").alias("n")).where(F.length("word") > 1)
 
 
 def misread_forms(words: DataFrame) -> DataFrame:
-    """word, form, form_n, n, odd: spellings that may be misread and the up to CHOICES frequent forms of their skeleton."""
+    """word, form, form_n, n, odd: spellings that may be misread and the forms of their skeleton that they may stand for.
+
+    A form is a spelling of letters that isn't itself misread by the same rule: none of its skeleton is TIMES as frequent.
+    So a word meets the few forms at the top of its skeleton, however many misreadings recur.
+    """
     keyed = words.where(F.col("word").rlike(r"\p{L}.*\p{L}")).withColumn("skeleton", skeleton(F.col("word")))
     clean = keyed.where(F.col("word").rlike(r"^[\p{L}'’.-]+$") & (F.length("word") > 1) & (F.col("n") >= ODD_COUNT))
-    best = clean.groupBy("skeleton").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, CHOICES).alias("best"))
-    pairs = keyed.join(best, "skeleton").select("word", "n", F.explode("best").alias("b")).select("word", "n", F.col("b.word").alias("form"), F.col("b.n").alias("form_n"), F.col("word").rlike(r"[0-9@!|]").alias("odd"))
+    most = clean.groupBy("skeleton").agg(F.max("n").alias("most"))
+    forms = clean.join(most, "skeleton").where(F.col("n") * TIMES > F.col("most")).select("skeleton", F.col("word").alias("form"), F.col("n").alias("form_n"))
+    pairs = keyed.join(forms, "skeleton").select("word", "n", "form", "form_n", F.col("word").rlike(r"[0-9@!|]").alias("odd"))
     rare = (F.col("form_n") >= MIN_COUNT) & (F.col("form_n") >= TIMES * F.col("n"))
     return pairs.where((F.col("word") != F.col("form")) & (rare | F.col("odd") & (F.col("form_n") >= ODD_TIMES * F.col("n"))))
 
@@ -214,7 +222,7 @@ def misread_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     sides = [F.struct(F.lit(w).alias("of"), F.xxhash64(*pair).alias("pair")) for w in ("form", "word") for pair in (("l", w), (w, "r"))]
     sides = found.where("not odd").select("point_id", "line_no", "i", "form", F.explode(F.array(*sides)).alias("s")).select("point_id", "line_no", "i", "form", "s.of", "s.pair")
     asked = sides.select("pair").distinct()
-    beside = F.explode(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, 100000).alias("b"))).alias("p")
+    beside = F.explode(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, F.size("ws")).alias("b"))).alias("p")
     all_pairs = rows.select("point_id", beside).select("point_id", F.xxhash64("p.a", "p.b").alias("pair"))
     counts = checkpointed(join_checked(all_pairs, asked, ["pair"], "left_semi", salt_by="point_id").groupBy("pair").agg(F.count(F.lit(1)).alias("c")))
     seen = join_checked(sides, counts, ["pair"], "inner", salt_by="point_id").groupBy("point_id", "line_no", "i", "form").agg(F.sum(F.when(F.col("of") == "form", F.col("c")).otherwise(0)).alias("support"), F.sum(F.when(F.col("of") == "word", F.col("c")).otherwise(0)).alias("against"))
@@ -275,21 +283,57 @@ def unmarked_breaks(pairs: DataFrame, known: DataFrame, words: DataFrame) -> Dat
     return judged.where(no_word("left") | no_word("right")).select("point_id", "line_no", "next_point", "next_no", "left", "right")
 
 
+def misread_joins(words: DataFrame, hyphens: DataFrame) -> DataFrame:
+    """The broken words whose pieces make a misread word, with its form; pieces in lower case."""
+    best = words.where((F.col("n") >= MIN_COUNT) & F.col("word").rlike(r"^[\p{L}'’.-]+$")).withColumn("skeleton", skeleton(F.col("word"))).groupBy("skeleton").agg(F.max(F.struct("n", "word")).alias("b")).select("skeleton", F.col("b.word").alias("form"))
+    parts = hyphens.withColumn("left", F.lower("left")).withColumn("right", F.lower("right")).withColumn("skeleton", skeleton(F.concat("left", "right")))
+    return join_checked(parts, best, ["skeleton"], "inner", salt_by="point_id").where(F.concat("left", "right") != F.col("form"))
+
+
 def misread_lines(lines: DataFrame, words: DataFrame, hyphens: DataFrame) -> DataFrame:
     """point_id, line_no, kind ocr: lines with a misread word, whole or broken over two lines."""
     whole = misread_words(lines, words).select("point_id", "line_no")
-    best = words.where((F.col("n") >= MIN_COUNT) & F.col("word").rlike(r"^[\p{L}'’.-]+$")).withColumn("skeleton", skeleton(F.col("word"))).groupBy("skeleton").agg(F.max(F.struct("n", "word")).alias("b")).select("skeleton", F.col("b.word").alias("form"))
-    parts = hyphens.withColumn("left", F.lower("left")).withColumn("right", F.lower("right")).withColumn("skeleton", skeleton(F.concat("left", "right")))
-    pairs = join_checked(parts, best, ["skeleton"], "inner", salt_by="point_id").where(F.concat("left", "right") != F.col("form"))
+    pairs = misread_joins(words, hyphens)
     on_left = pairs.where(~F.col("form").startswith(F.col("left"))).select("point_id", "line_no")
     on_right = pairs.where(~F.col("form").endswith(F.col("right"))).select(F.col("next_point").alias("point_id"), F.col("next_no").alias("line_no"))
     return whole.unionByName(on_left).unionByName(on_right).select("point_id", "line_no", F.lit("ocr").alias("kind"))
 
 
+def _cased(form: Column, like: Column) -> Column:
+    """The form with the capitals of the word it stands for."""
+    return F.when(like.rlike(r"^\p{Lu}+$"), F.upper(form)).when(like.rlike(r"^\p{Lu}"), F.concat(F.upper(F.left(form, F.lit(1))), F.substr(form, F.lit(2)))).otherwise(form)
+
+
+def _goes_on(line: Column) -> Column:
+    """A line of prose, four words or more, that ends no sentence."""
+    return ~line.rlike(r"[.!?:…][\"'”»)\]]*\s*$") & (F.size(F.split(F.trim(line), " ")) >= 4) & ~line.rlike(r"^\s*(?:[-*•–]|\d+[.)])\s")
+
+
+def over_pages(pieces: DataFrame, pages: DataFrame) -> DataFrame:
+    """point_id, paragraph_no, text: the paragraphs of pages, with what goes on at the top of the next page joined to its beginning.
+
+    Pages stand in the order of their source, worked out in parts of PART_PAGES pages; a part hands on one row.
+    """
+    at = ["page", "part_no", "point_id"]
+    edge = pieces.groupBy("point_id").agg(F.min("paragraph_no").alias("first_no"), F.max("paragraph_no").alias("last_no"), F.min_by("first_line", "paragraph_no").alias("top"), F.max_by("last_line", "paragraph_no").alias("bottom"))
+    placed = pages.select("point_id", "src", "page", F.col("part").alias("part_no")).dropDuplicates(["point_id"])
+    edge = edge.join(placed, "point_id").withColumn("part", F.floor(F.col("page") / PART_PAGES))
+    edge = before(edge, "src", F.struct("page", "part_no", _goes_on(F.col("bottom")).alias("open")), "last", at)
+    follows = (F.col("last.page") + 1 == F.col("page")) | (F.col("last.page") == F.col("page")) & (F.col("last.part_no") + 1 == F.col("part_no"))
+    edge = checkpointed(edge.withColumn("goes_on", F.coalesce(F.col("last.open") & follows & ~F.col("top").rlike(r"^\s*(?:[-*•–]|\d+[.)])\s"), F.lit(False))).drop("last"))
+    begun = F.when(~F.col("goes_on") | (F.col("first_no") != F.col("last_no")), F.struct("point_id", F.col("last_no").alias("paragraph_no")))
+    owners = before(edge, "src", begun, "owner", at).where("goes_on").select("point_id", F.col("first_no").alias("paragraph_no"), "owner")
+    own = F.struct("point_id", "paragraph_no")
+    rows = pieces.join(placed, "point_id").join(owners, ["point_id", "paragraph_no"], "left").select(F.coalesce("owner", own).alias("o"), F.struct("page", "part_no", "paragraph_no", "text").alias("t"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda x: x["text"]), " ")
+    return rows.groupBy("o").agg(text.alias("text")).select("o.point_id", "o.paragraph_no", F.trim("text").alias("text"))
+
+
 def repaired(chunks: DataFrame) -> DataFrame:
     """point_id, paragraph_no, text: continuous paragraphs without headers and page numbers, broken and misread words put right.
 
-    Paragraphs end at blank lines; a word broken over two pages is put right on the page where it begins.
+    Paragraphs end at blank lines; one that runs over the end of a page is whole where it begins, and so is a word broken
+    over two pages. A misread word gets the form that noisy_lines goes by, also where it is broken over two lines.
     """
     pages = scanned_pages(chunks)
     marks = checkpointed(headers_and_numbers(pages))
@@ -299,18 +343,22 @@ def repaired(chunks: DataFrame) -> DataFrame:
     tokens = lines.select("point_id", "line_no", F.posexplode(F.split(F.trim("line"), " ")).alias("i", "w"))
     fixed = tokens.join(misread_words(lines, words).drop("word"), ["point_id", "line_no", "i"], "left")
     core = _bare(F.col("w"))
-    cased = F.when(core.rlike(r"^\p{Lu}+$"), F.upper("form")).when(core.rlike(r"^\p{Lu}"), F.concat(F.upper(F.left("form", F.lit(1))), F.substr("form", F.lit(2)))).otherwise(F.col("form"))
-    right = F.when(F.col("form").isNull(), F.col("w")).otherwise(F.replace(F.col("w"), core, cased))
+    right = F.when(F.col("form").isNull(), F.col("w")).otherwise(F.replace(F.col("w"), core, _cased(F.col("form"), core)))
     text = fixed.select("point_id", "line_no", "i", right.alias("w")).groupBy("point_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("ws"))
-    text = text.join(hyphens.groupBy("point_id", "line_no").agg(F.max("right").alias("joins")), ["point_id", "line_no"], "left")
+    forms = misread_joins(words, hyphens).select("point_id", "line_no", "form").groupBy("point_id", "line_no").agg(F.max("form").alias("form"))
+    broken = hyphens.groupBy("point_id", "line_no").agg(F.max_by("left", "right").alias("begin"), F.max("right").alias("joins")).join(forms, ["point_id", "line_no"], "left")
+    text = text.join(broken, ["point_id", "line_no"], "left")
     text = text.join(hyphens.groupBy(F.col("next_point").alias("point_id"), F.col("next_no").alias("line_no")).agg(F.max("right").alias("joined")), ["point_id", "line_no"], "left")
     first = F.col("ws")[0]["w"]
     kept = F.when(F.col("joined").isNotNull(), F.slice("ws", 2, F.size("ws"))).otherwise(F.col("ws"))
     line = F.array_join(F.transform(kept, lambda x: x["w"]), " ")
-    line = F.when(F.col("joins").isNotNull(), F.concat(F.regexp_replace(line, rf"[{HYPHENS}]$", ""), "joins")).otherwise(line)
+    bare = F.regexp_replace(line, rf"[{HYPHENS}]$", "")
+    put = F.when(F.col("form").isNotNull() & bare.endswith(F.col("begin")), F.concat(F.left(bare, F.length(bare) - F.length("begin")), _cased(F.col("form"), F.col("begin")))).otherwise(F.concat(bare, "joins"))
+    line = F.when(F.col("joins").isNotNull(), put).otherwise(line)
     tail = F.when(F.col("joined").isNotNull(), F.regexp_replace(first, rf"^.*?([^{_LETTER}]*)$", "$1")).otherwise("")
     rows = text.select("point_id", "line_no", F.concat(tail, F.when(tail != "", " ").otherwise(""), line).alias("line"))
     blanks = pages.dropDuplicates(["point_id"]).select("point_id", F.posexplode("lines").alias("line_no", "l")).where(is_blank(F.col("l"))).groupBy("point_id").agg(F.sort_array(F.collect_set("line_no")).alias("blanks"))
     placed = rows.join(blanks, "point_id", "left").withColumn("paragraph_no", F.size(F.filter(F.coalesce("blanks", F.array().cast("array<int>")), lambda b: b < F.col("line_no"))))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
-    return placed.groupBy("point_id", "paragraph_no").agg(F.trim(joined).alias("text"))
+    pieces = placed.groupBy("point_id", "paragraph_no").agg(F.trim(joined).alias("text"), F.min_by("line", "line_no").alias("first_line"), F.max_by("line", "line_no").alias("last_line"))
+    return over_pages(checkpointed(pieces), pages)

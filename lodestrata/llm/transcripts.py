@@ -8,10 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, join_checked
+from .common import before
 
 #: Seconds of a video that are ordered together; longer videos are split and joined again.
 PART_SECONDS = 300
@@ -218,24 +219,11 @@ def segments(lines: list[str], names: tuple[tuple[int, str], ...], decode) -> li
     return out
 
 
-def before(df: DataFrame, value: str, out: str, order: list[str]) -> DataFrame:
-    """df with out: the last value that isn't null in the rows before, by video and order.
-
-    Rows are ordered within parts of a video; what a part hands on goes through one row a part.
-    """
-    inside = Window.partitionBy("video_id", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    handed = df.groupBy("video_id", "part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
-    parts = Window.partitionBy("video_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    handed = handed.select("video_id", "part", F.last("_last", ignorenulls=True).over(parts).alias("_handed"))
-    local = df.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
-    return local.join(handed, ["video_id", "part"], "left").withColumn(out, F.coalesce("_local", "_handed")).drop("_local", "_handed")
-
-
 def fresh_cues(cues: DataFrame) -> DataFrame:
     """video_id, part, start, cue_id, lines: each cue once, with the lines that the cue before doesn't have."""
     once = cues.where("video_id is not null").groupBy("video_id", "start_seconds", "end_seconds", "text").agg(F.min("cue_id").alias("cue_id"))
     rows = once.select("video_id", F.coalesce(F.floor(F.col("start_seconds") / PART_SECONDS), F.floor(F.col("cue_id") / PART_CUES) - F.lit(1 << 50)).alias("part"), F.coalesce("start_seconds", F.lit(-1.0)).alias("start"), "cue_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "").alias("lines"))
-    return before(rows, "lines", "shown", ["start", "cue_id"]).select("video_id", "part", "start", "cue_id", F.filter("lines", lambda x: ~F.coalesce(F.array_contains("shown", x), F.lit(False))).alias("lines"))
+    return before(rows, "video_id", "lines", "shown", ["start", "cue_id"]).select("video_id", "part", "start", "cue_id", F.filter("lines", lambda x: ~F.coalesce(F.array_contains("shown", x), F.lit(False))).alias("lines"))
 
 
 def with_names(cues: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -290,7 +278,7 @@ def spoken(cues: DataFrame, speakers: DataFrame, fit_cues: int = FIT_CUES) -> Da
 
     parsed = checkpointed(named.select("video_id", "part", "start", "cue_id", parse("lines", "names").alias("segs")))
     labelled = parsed.withColumn("label", F.try_element_at(F.filter(F.transform("segs", lambda s: s["no"]), lambda n: n.isNotNull()), F.lit(-1)))
-    held = before(labelled, "label", "held", ["start", "cue_id"])
+    held = before(labelled, "video_id", "label", "held", ["start", "cue_id"])
     rows = held.select("video_id", "part", "start", "cue_id", "held", F.posexplode("segs").alias("i", "s"))
     return rows.where("s.says").select("video_id", "part", "start", "cue_id", "i", F.coalesce("s.no", "held").alias("speaker_no"), F.col("s.words").alias("words")).where("speaker_no is not null")
 
@@ -302,7 +290,7 @@ def turn_starts(cues: DataFrame, speakers: DataFrame, fit_cues: int = FIT_CUES)
     first; videos without speakers have no turns; empty tables give an empty result; other columns are ignored.
     """
     said = checkpointed(spoken(cues, speakers, fit_cues))
-    last = before(said, "speaker_no", "previous", ["start", "cue_id", "i"])
+    last = before(said, "video_id", "speaker_no", "previous", ["start", "cue_id", "i"])
     return last.where(F.col("previous").isNull() | (F.col("previous") != F.col("speaker_no"))).select("video_id", F.col("cue_id").alias("first_cue_id"), "speaker_no").distinct()
 
 
@@ -310,9 +298,9 @@ def turns(cues: DataFrame, speakers: DataFrame, fit_cues: int = FIT_CUES) -> Dat
     """video_id, first_cue_id, speaker_no, text: the words of each turn, one row a turn; parts are joined in order."""
     said = checkpointed(spoken(cues, speakers, fit_cues))
     order = ["start", "cue_id", "i"]
-    last = before(said, "speaker_no", "previous", order)
+    last = before(said, "video_id", "speaker_no", "previous", order)
     opens = last.withColumn("opens", F.when(F.col("previous").isNull() | (F.col("previous") != F.col("speaker_no")), F.struct(*order)))
-    current = checkpointed(before(opens, "opens", "opened", order).withColumn("turn", F.coalesce("opens", "opened")))
+    current = checkpointed(before(opens, "video_id", "opens", "opened", order).withColumn("turn", F.coalesce("opens", "opened")))
     words = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "words"))), lambda x: x["words"]), " ")
     parts = current.groupBy("video_id", "turn", "speaker_no", "part").agg(words.alias("text"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), " ")
