@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..session import checkpointed, join_checked
 from .common import is_blank, lines_of
 
-#: A tree compares this many pages in theory: a node on one page of so many has importance 1, one on all pages 0.
+#: Pages that a tree compares, as if so many were drawn from each site; entropies are in units of theirs, so sites of any size are judged alike.
 REFERENCE_PAGES = 500
-#: Branches below this importance are removed; at 500 pages it is reached on a page in 22.
+#: Branches below this composite importance are removed.
 LEAST_IMPORTANCE = 0.5
+#: The part of the presentation above a node in its composite importance; the rest is that of its content.
+PRESENTATION_WEIGHT = 0.2
 #: The key of the tree of all pages.
 MERGED = 0
 #: Pages that must share a node before it counts as repeated at all.
@@ -66,7 +68,7 @@ def page_lines(chunks: DataFrame) -> DataFrame:
 def with_nodes(lines: DataFrame) -> DataFrame:
     """Adds nodes: of the style tree, the content (whole line), the links of a menu or path and the frame of a line.
 
-    A sentence or item has only its content; digits are masked elsewhere. A frame is the label before the colon, the sign
+    A link is an element of its own, whatever line holds it; all else stands below the style of its line. A sentence or item has only its content; digits are masked elsewhere. A frame is the label before the colon, the sign
     at the start, the first three words, or the first two and the last.
     """
     masked = F.regexp_replace("form", r"\d+", "#")
@@ -87,7 +89,7 @@ def with_nodes(lines: DataFrame) -> DataFrame:
         .when(F.size(words) < 3, F.array_union(F.array(content), links))
         .otherwise(F.array_union(F.array(content), F.array_remove(framed, "frame -")))
     )
-    hashed = F.transform(nodes, lambda n: F.struct(F.xxhash64(n).alias("node"), (~n.startswith("frame ")).alias("sure")))
+    hashed = F.transform(nodes, lambda n: F.struct(F.xxhash64(n).alias("node"), (~n.startswith("frame ")).alias("sure"), F.when(n.startswith("link "), "link").otherwise(F.col("style")).alias("above")))
     return lines.withColumn("nodes", hashed).drop("form", "low")
 
 
@@ -96,19 +98,41 @@ def _trees() -> Column:
     return F.array("host", "lang", F.lit(MERGED).cast("bigint"))
 
 
-def unimportant_nodes(lines: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """tree, node of low importance: of the tree of each host and of the merged trees of each language and of all.
+def entropies(lines: DataFrame) -> DataFrame:
+    """tree, above, node, sure, pages, n, h: how often a node stands below a style in the pages of a tree, and the entropy of the pages it stands on.
 
-    The importance of a node is the information of meeting it on a page, -log(share of pages), in units of that of one
-    page in REFERENCE_PAGES: what all pages of a site show says nothing. Pages count once a node before the shuffle, and
-    path lines don't count, for their words prove nothing. The merged trees come out as one. A tree keeps at most the nodes of a page over the least share.
+    Occurrences are counted a page before the shuffle; h = log n - sum(c log c) / n over the counts c of its pages.
+    Path lines don't count, for their words prove nothing.
     """
-    trees = _trees()
-    counted = lines.where("style != 'path'").select(F.explode("nodes.node").alias("node"), "host", "lang", "page").distinct()
-    by_node = counted.select(F.explode(trees).alias("tree"), "node", "page").groupBy("tree", "node").agg(F.count(F.lit(1)).alias("pages"))
-    totals = lines.select("host", "lang", "page").distinct().select(F.explode(trees).alias("tree"), "page").groupBy("tree").agg(F.count(F.lit(1)).alias("all_pages"))
-    importance = -F.log(F.col("pages") / F.col("all_pages")) / math.log(REFERENCE_PAGES)
-    return by_node.where(F.col("pages") >= LEAST_PAGES).join(totals, "tree").where(importance < least).join(lines.select(F.col("host").alias("tree")).distinct().withColumn("own", F.lit(True)), "tree", "left").select(F.when(F.col("own"), F.col("tree")).otherwise(MERGED).alias("tree"), "node").distinct()
+    on_page = lines.where("style != 'path'").select("host", "lang", "page", F.inline("nodes").alias("node", "sure", "above")).groupBy("above", "node", "sure", "host", "lang", "page").agg(F.count(F.lit(1)).alias("c"))
+    n = F.sum("c")
+    by_node = on_page.select(F.explode(_trees()).alias("tree"), "above", "node", "sure", "c").groupBy("tree", "above", "node", "sure").agg(F.count(F.lit(1)).alias("pages"), n.alias("n"), (F.log(n) - F.sum(F.col("c") * F.log("c")) / n).alias("h"))
+    return by_node
+
+
+def presentations(nodes: DataFrame) -> DataFrame:
+    """tree, above, diversity: the importance of a style node, the entropy of the contents below it: 1 where all differ, 0 where one fills it."""
+    total = F.sum("n")
+    h = (F.log(total) - F.sum(F.col("n") * F.log("n")) / total) / F.log(total)
+    return nodes.where("sure").groupBy("tree", "above").agg(F.when(total > 1, h).otherwise(1.0).alias("diversity"))
+
+
+def unimportant_nodes(lines: DataFrame, least: float = LEAST_IMPORTANCE, weight: float = PRESENTATION_WEIGHT) -> DataFrame:
+    """tree, above, node of low composite importance: of the tree of each host and of the merged trees of each language and of all.
+
+    A site's pages are merged into a tree of styles (the presentation of lines), with the contents, links and frames of
+    lines as nodes below them. The importance of a node is one less the entropy of the pages it stands on, in units of that of
+    REFERENCE_PAGES pages: what all pages of a site show evenly says nothing. The composite importance adds that of the
+    presentation above it: a style whose contents all differ speaks for a node, one that repeats itself against it. The
+    merged trees come out as one, for hosts with few pages.
+    """
+    nodes = entropies(lines)
+    totals = lines.select("host", "lang", "page").distinct().select(F.explode(_trees()).alias("tree"), "page").groupBy("tree").agg(F.count(F.lit(1)).alias("all_pages"))
+    above = presentations(nodes).join(totals, "tree").join(lines.select(F.col("host").alias("tree")).distinct().withColumn("own", F.lit(True)), "tree", "left")
+    own = (F.log("all_pages") - F.col("h")) / math.log(REFERENCE_PAGES)
+    composite = (1 - weight) * own + weight * F.col("diversity")
+    rows = join_checked(nodes.where(F.col("pages") >= LEAST_PAGES), above, ["tree", "above"], "inner", salt_by="node")
+    return rows.where(composite < least).select(F.when(F.col("own"), F.col("tree")).otherwise(MERGED).alias("tree"), "above", "node").distinct()
 
 
 def furniture(chunks: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -121,9 +145,9 @@ def furniture(chunks: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """
     lines = checkpointed(with_nodes(page_lines(chunks)))
     low = unimportant_nodes(lines, least)
-    rows = lines.select("point_id", "line_no", "style", "titled", F.explode("nodes").alias("n"), F.array("host", F.lit(MERGED).cast("bigint")).alias("trees"))
-    rows = rows.select("point_id", "line_no", "style", "titled", "n.node", "n.sure", F.explode("trees").alias("tree"))
-    hits = join_checked(rows, low, ["tree", "node"], "left_semi", salt_by="point_id").groupBy("point_id", "line_no", "style", "titled").agg(F.bool_or("sure").alias("sure"))
+    rows = lines.select("point_id", "line_no", "style", "titled", F.array("host", F.lit(MERGED).cast("bigint")).alias("trees"), F.inline("nodes").alias("node", "sure", "above"))
+    rows = rows.select("point_id", "line_no", "style", "titled", "node", "sure", "above", F.explode("trees").alias("tree"))
+    hits = join_checked(rows, low, ["tree", "above", "node"], "left_semi", salt_by="point_id").groupBy("point_id", "line_no", "style", "titled").agg(F.bool_or("sure").alias("sure"))
     hits = checkpointed(hits)
     at = ["point_id", "line_no"]
     open_ = lines.where("style in ('plain', 'labelled')").join(hits.where("sure"), at, "left_anti")
