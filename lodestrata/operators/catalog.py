@@ -10,19 +10,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import join_checked, numbered
+from ..session import before, join_checked, numbered
 
 
 def latest(chunks: DataFrame) -> DataFrame:
-    """Keyed upsert: of rows stored under one point_id the one stored last stays (then the greatest text)."""
+    """Keyed upsert: of rows stored under one point_id the one stored last stays (then the greatest text).
+
+    Ids stored again are found from the key column alone; only their rows are shuffled with all columns, the others stay
+    where they are.
+    """
     rest = [c for c in chunks.columns if c != "point_id"]
+    rows = chunks.where("point_id is not null")
+    again = rows.groupBy("point_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("point_id", F.lit(True).alias("_again"))
+    marked = join_checked(rows, again, ["point_id"], "left", salt_by="point_id")
     newest = F.max_by(F.struct(*rest), F.struct(F.coalesce("ingested_at", F.lit("")), F.coalesce("text", F.lit(""))))
-    return chunks.where("point_id is not null").groupBy("point_id").agg(newest.alias("r")).select("point_id", *[F.col(f"r.{c}") for c in rest])
+    one = marked.where("_again").groupBy("point_id").agg(newest.alias("r")).select("point_id", *[F.col(f"r.{c}") for c in rest])
+    return marked.where("_again is null").select("point_id", *rest).unionByName(one)
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, key: str = "point_id") -> DataFrame:
-    """stored with the rows of incoming in the place of those with the same key."""
-    return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+    """stored with the rows of incoming in the place of those with the same key; keys of incoming must be unique."""
+    return join_checked(stored, incoming.select(key), [key], "left_anti", salt_by=key).unionByName(incoming)
+
+
+def merged(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """stored with each column of incoming in the place of its own where that is filled: insert or update by key, once a key on both sides."""
+    rest = [c for c in stored.columns if c != key]
+    both = stored.alias("s").join(incoming.alias("i"), key, "full_outer")
+    return both.select(key, *[F.coalesce(F.col(f"i.{c}"), F.col(f"s.{c}")).alias(c) for c in rest])
+
+
+def appended_new(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """A queue with what is new in incoming, once a key, the first by order; what exists wins."""
+    first = incoming.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in existing.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
+    return existing.unionByName(join_checked(first, existing.select(*keys).distinct(), keys, "left_anti", salt_by=keys[0]))
 
 
 def without_sources(chunks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -49,19 +70,75 @@ def vendor_products(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("vendor").agg(F.array_sort(F.collect_set("product")).alias("products"))
 
 
-def audit(chunks: DataFrame) -> DataFrame:
-    """Per source: chunks, first filled vendor and doc_type, distinct sections, any url, newest time, old schema rows."""
+def last_filled(value: Column, order: str = "point_id") -> Column:
+    """The last value that isn't null or blank, by order."""
+    filled = F.nullif(F.trim(value), F.lit(""))
+    return F.max_by(value, F.when(filled.isNotNull(), F.struct(order, value)))
+
+
+def audit(chunks: DataFrame, version: int = 2) -> DataFrame:
+    """Per source: chunks, last filled vendor, first filled doc_type and product, distinct sections, any url, newest time, rows of another schema version."""
     return chunks.where("source is not null").groupBy("source").agg(
         F.count(F.lit(1)).alias("n_chunks"),
-        first_filled("vendor").alias("vendor"),
+        last_filled(F.lower(F.trim("vendor"))).alias("vendor"),
         first_filled("doc_type").alias("doc_type"),
+        first_filled("product").alias("product"),
         F.count_distinct(F.nullif("section", F.lit(""))).alias("n_sections"),
         F.bool_or(F.coalesce(F.col("url") != "", F.lit(False))).alias("has_url"),
         F.max(F.nullif("ingested_at", F.lit(""))).alias("newest"),
-        F.count_if(F.coalesce("schema_version", F.lit(1)) < 2).alias("n_old"),
+        F.count_if(F.coalesce(F.col("schema_version") != version, F.lit(True))).alias("n_old"),
+    )
+
+
+def audit_lines(chunks: DataFrame) -> DataFrame:
+    """The audit as a report shows it: - for what is empty, yes or no for urls."""
+    shown = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("-"))
+    return audit(chunks).select("source", F.col("n_chunks").cast("string").alias("n_chunks"), *[shown(c).alias(c) for c in ("vendor", "doc_type", "product", "newest")], F.when(F.col("has_url"), "yes").otherwise("no").alias("url"))
+
+
+def backfill_entries(chunks: DataFrame) -> DataFrame:
+    """Per source what a manifest entry is filled from: count, first filled values and the sets of types."""
+    types = lambda c: F.array_sort(F.collect_set(F.nullif(F.trim(c), F.lit(""))))
+    return chunks.where("source is not null").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.lower(F.trim(first_filled("vendor"))).alias("vendor"), *[first_filled(c).alias(c) for c in ("content_type", "source_type", "product")], types("content_type").alias("content_types"), types("source_type").alias("source_types")
     )
 
 
+def backfilled(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The manifest with an entry for each source without one: a marker in the place of the digest, vendor unknown where none is."""
+    kind = F.when(F.array_contains("content_types", "video_transcript"), "video").when(F.array_contains("source_types", "html"), "html").otherwise("file")
+    entries = join_checked(backfill_entries(chunks), manifest.select("source").distinct(), ["source"], "left_anti", salt_by="source")
+    new = entries.select("source", F.concat(F.lit("backfill:"), kind).alias("sha256"), F.coalesce("vendor", F.lit("unknown")).alias("vendor"), "product", F.col("n_chunks").cast("int").alias("chunk_count"))
+    return manifest.where("source is not null").select("source", "sha256", "vendor", "product", "chunk_count").unionByName(new)
+
+
+def deleted_summary(chunks: DataFrame, manifest: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, n_chunks, listed of each source that a delete job is given: what it will take out of store and manifest."""
+    asked = sources.where("source is not null").select("source").distinct()
+    n = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    listed = manifest.select("source").distinct().withColumn("l", F.lit(True))
+    return asked.join(n, "source", "left").join(listed, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n_chunks"), F.coalesce("l", F.lit(False)).alias("listed"))
+
+
+def pending_sources(manifest: DataFrame, chunks: DataFrame, finished: DataFrame) -> DataFrame:
+    """Sources that a resumed run has to take: not finished, or finished without any text chunk in the store."""
+    stored = chunks.where("content_type = 'text'").select("source").distinct()
+    done = join_checked(finished.select("source").distinct(), stored, ["source"], "left_semi", salt_by="source")
+    return join_checked(manifest.where("source is not null").select("source").distinct(), done, ["source"], "left_anti", salt_by="source")
+
+
+def filtered(chunks: DataFrame, vendors: list[str] | None = None, **equal: str | None) -> DataFrame:
+    """Chunks that equal every given value, trimmed and in lower case; vendors (one or several) beat a single vendor; empty values don't count."""
+    wanted = [v.strip().lower() for v in vendors or [] if v and v.strip()]
+    if wanted:
+        equal.pop("vendor", None)
+        chunks = chunks.where(F.col("vendor").isin(*wanted))
+    for column, value in equal.items():
+        if value and value.strip():
+            chunks = chunks.where(F.col(column) == value.strip().lower())
+    return chunks
+
+
 def audit_warnings(chunks: DataFrame, manifest: DataFrame, few: int = 3) -> DataFrame:
     """source, warning: few_chunks, no_headings, old_schema, missing_in_store, untracked, drift."""
     a = audit(chunks)
@@ -112,12 +189,16 @@ def backfill_plan(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def changed_sources(documents: DataFrame, manifest: DataFrame) -> DataFrame:
-    """source, action: of sources with documents, new where no entry is, replace where the digest differs, else skip."""
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_set(F.sha2(F.coalesce("text", F.lit("")), 256))), ""), 256)
-    now = documents.where("source is not null").groupBy("source").agg(digest.alias("digest"))
-    before = manifest.where("source is not null").groupBy("source").agg(F.max("sha256").alias("sha256"))
+    """source, digest, action: of sources with documents, new where no entry is, replace where the digest differs, else skip.
+
+    The digest is made of sums that don't depend on order, over the distinct texts, so no source is gathered.
+    """
+    texts = documents.where("source is not null").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).distinct()
+    part = lambda at: F.bit_xor(F.conv(F.substring("h", at, 15), 16, 10).cast("bigint"))
+    now = texts.groupBy("source").agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(16).alias("b")).select("source", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256).alias("digest"))
+    listed = manifest.where("source is not null").groupBy("source").agg(F.max("sha256").alias("sha256"))
     action = F.when(F.col("sha256").isNull(), "new").when(F.col("sha256") != F.col("digest"), "replace").otherwise("skip")
-    return now.join(before, "source", "left").select("source", "digest", action.alias("action"))
+    return now.join(listed, "source", "left").select("source", "digest", action.alias("action"))
 
 
 def migrated(chunks: DataFrame) -> DataFrame:
@@ -132,3 +213,13 @@ def page_numbers_of_chunks(chunks: DataFrame) -> DataFrame:
     """point_id, chunk_index counted anew from 0 in each page of a source; rows without page share one count."""
     rows = latest(chunks).where("source is not null").select("point_id", "source", "page", F.coalesce("chunk_index", F.lit(0)).alias("old"))
     return numbered(rows, ["source", "page"], ["old", "point_id"], "chunk_index").select("point_id", "source", "page", "chunk_index")
+
+
+def filled_headings(chunks: DataFrame) -> DataFrame:
+    """point_id, source, page, chunk_index, section: the section of a chunk or the nearest one before it in its source.
+
+    Goes over pages and also names captions by the section they stand in; sources are ordered in parts of 100 pages.
+    """
+    rows = chunks.where("point_id is not null and source is not null").select("point_id", "source", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), F.nullif(F.trim("section"), F.lit("")).alias("own")).distinct()
+    rows = rows.withColumn("part", F.floor(F.col("page") / 100))
+    return before(rows, "source", "own", "nearest", ["page", "chunk_index", "point_id"]).select("point_id", "source", "page", "chunk_index", F.coalesce("own", "nearest").alias("section"))

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,38 +25,56 @@ FUSION_K = 60
 
 
 def packed(vectors: DataFrame, id_col: str, vec_col: str, group: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """group, block, ids, matrix (row after row): vectors of each group in blocks of about so many rows."""
-    filled = vectors.where(F.col(vec_col).isNotNull())
-    blocks = -(-filled.count() // rows) or 1
-    cells = filled.groupBy(group, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
-    return cells.agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))).alias("r")).select(group, "block", F.col("r.id").alias("ids"), F.flatten("r.v").alias("matrix"))
+    """group, ids, matrix (row after row, as the bytes of its floats): vectors of each group in blocks of up to so many rows, packed where they lie, without a shuffle."""
+    kind = "float32" if dict(vectors.dtypes)[vec_col] == "array<float>" else "float64"
+    kinds = dict(vectors.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for g in table.column(group).unique():
+                own = table.filter(pc.equal(table.column(group), g))
+                for at in range(0, own.num_rows, rows):
+                    piece = own.slice(at, rows).combine_chunks()
+                    matrix = piece.column(vec_col).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+                    ids = piece.column(id_col).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([g.as_py()], type=batch.schema.field(group).type), pa.array([ids], type=pa.list_(batch.schema.field(id_col).type)), pa.array([matrix.tobytes()], type=pa.binary())], names=[group, "ids", "matrix"])
+
+    return vectors.where(F.col(vec_col).isNotNull() & F.col(group).isNotNull()).select(group, id_col, vec_col).mapInArrow(run, f"{group} {kinds[group]}, ids array<{kinds[id_col]}>, matrix binary")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, qid: str = "qid", rid: str = "vec_id", vec: str = "embedding", group: str | None = None) -> DataFrame:
     """qid, rid, score, rank of the k rows with the greatest cosine (rounded to 9 digits) for each query, ties by rid.
 
-    With group, only rows of the query's group. The stated queries meet all rows in blocks: each task multiplies one block
-    of queries with one of rows and keeps k a query, so neither side is broadcast and no pair leaves the task; a row number
-    per query then keeps k of all.
+    With group, only rows of the query's group. The stated queries meet all rows in blocks: blocks of rows stay where they
+    were read, blocks of queries come to them (broadcast as far as their measured size allows, else both by a salted shuffle);
+    a task multiplies block by block and keeps k a query over all its blocks, and a row number per query keeps k of all.
     """
     g = group or "_all"
     if not group:
         queries, rows = queries.withColumn(g, F.lit(0)), rows.withColumn(g, F.lit(0))
-    left = checkpointed(packed(queries, qid, vec, g).toDF(g, "qb", "qids", "qm"))
-    right = checkpointed(packed(rows, rid, vec, g).toDF(g, "rb", "rids", "rm"))
-    pairs = join_checked(left, right.select(g, "rb"), [g], "inner", salt_by="qb").join(right, [g, "rb"])
+    kinds = dict(queries.dtypes)[qid], dict(rows.dtypes)[rid]
+    types = ["float32" if dict(x.dtypes)[vec] == "array<float>" else "float64" for x in (queries, rows)]
+    parts = max(1, -(-queries.count() // BLOCK_ROWS))
+    asked = packed(queries.repartition(parts, g) if group else queries.repartition(parts), qid, vec, g).toDF(g, "qids", "qm")
+    pairs = join_checked(packed(rows, rid, vec, g).toDF(g, "rids", "rm"), asked, [g], "inner", salt_by="rids")
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for qids, qm, rids, rm in zip(batch["qids"], batch["qm"], batch["rids"], batch["rm"], strict=True):
-                a, b = np.asarray(qm).reshape(len(qids), -1), np.asarray(rm).reshape(len(rids), -1)
+                a, b = (np.frombuffer(m, dtype=t).astype(np.float64).reshape(len(i), -1) for m, t, i in ((qm, types[0], qids), (rm, types[1], rids)))
                 norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
                 score = np.round(np.divide(a @ b.T, norm, out=np.zeros_like(norm), where=norm > 0), 9) + 0.0
-                ids = np.asarray(rids)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "rid": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+                ids = np.broadcast_to(np.asarray(rids), score.shape)
+                key = tuple(qids)
+                if key in best:
+                    score, ids = np.concatenate([best[key][0], score], axis=1), np.concatenate([best[key][1], ids], axis=1)
+                order = np.lexsort((ids, -score), axis=1)[:, :k]
+                best[key] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        for key, (score, ids) in best.items():
+            yield pd.DataFrame({"qid": np.repeat(np.asarray(key), score.shape[1]), "rid": ids.ravel(), "score": score.ravel()})
 
-    kinds = dict(queries.dtypes)[qid], dict(rows.dtypes)[rid]
     hits = pairs.select("qids", "qm", "rids", "rm").mapInPandas(local, f"qid {kinds[0]}, rid {kinds[1]}, score double")
     return ranked(hits, "score", "rid", k).select(F.col("qid").alias(qid), F.col("rid").alias(rid), "score", "rank")
 
@@ -82,14 +102,14 @@ def idf(posted: DataFrame, n_rows: int) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + (F.lit(float(n_rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def term_search(questions: DataFrame, rows: DataFrame, k: int, rid: str = "point_id", text: str = "text") -> DataFrame:
+def term_search(questions: DataFrame, rows: DataFrame, k: int, rid: str = "point_id", text: str = "text", n_rows: int | None = None) -> DataFrame:
     """qid, rid, score, rank of the k rows with the greatest sum of tf of question, tf of row and idf (6 digits).
 
     Only postings of the questions' terms are kept; they meet the questions' terms by a size-checked join.
     """
     asked = checkpointed(postings(questions, "qid", "question").toDF("qid", "term", "qtf"))
     posted = checkpointed(join_checked(postings(rows, rid, text), asked.select("term").distinct(), ["term"], "left_semi", salt_by=rid))
-    weighed = join_checked(asked, idf(posted, rows.count()), ["term"], "inner", salt_by="qid")
+    weighed = join_checked(asked, idf(posted, rows.count() if n_rows is None else n_rows), ["term"], "inner", salt_by="qid")
     scored = join_checked(posted, weighed, ["term"], "inner", salt_by=rid).groupBy("qid", rid).agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), 6).alias("score"))
     return ranked(scored, "score", rid, k)
 
@@ -103,6 +123,25 @@ def fused(lists: list[DataFrame], rid: str = "point_id", k: int = FUSION_K) -> D
     return ranked(rows.groupBy("qid", rid).agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 8).alias("score")), "score", rid)
 
 
+def merged_kinds(texts: DataFrame, images: DataFrame, k: int, rid: str = "point_id") -> DataFrame:
+    """qid, rid, score, rank: text and image hits fused, up to k; a question with hits of one kind only keeps these as they are."""
+    both = texts.select("qid").distinct().join(images.select("qid").distinct(), "qid", "left_semi")
+    single = texts.join(both, "qid", "left_anti").unionByName(images.join(both, "qid", "left_anti"))
+    kept = fused([texts.join(both, "qid", "left_semi"), images.join(both, "qid", "left_semi")], rid)
+    return single.select("qid", rid, "score", "rank").unionByName(kept.select("qid", rid, "score", "rank")).where(F.col("rank") <= k)
+
+
+def fitting(hits: DataFrame, rows: DataFrame, budget: int, most: int = 5, rid: str = "point_id") -> DataFrame:
+    """qid, n: how many of the first hits, up to most, fit a budget of estimated tokens; one at least."""
+    return packed_context(hits, rows, budget, rid).where(F.col("rank") <= most).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def videos_first(cited_rows: DataFrame, is_video: Column, order: str = "n") -> DataFrame:
+    """Citations numbered anew: those of videos first, the order otherwise kept."""
+    n = F.row_number().over(Window.partitionBy("qid").orderBy(F.when(is_video, 0).otherwise(1), order))
+    return cited_rows.withColumn("position", n)
+
+
 def above_floor(hits: DataFrame, floor: float) -> DataFrame:
     """Hits with the score or more; a question with none keeps its first; a floor of 0 or less keeps all."""
     if floor <= 0:
@@ -121,7 +160,7 @@ def reranked(hits: DataFrame, questions: DataFrame, rows: DataFrame, n: int, rid
 
 def packed_context(hits: DataFrame, rows: DataFrame, budget: int, rid: str = "point_id", chars: int = 1000) -> DataFrame:
     """qid, rid, rank, cost, spent of the longest run of hits whose estimated tokens fit the budget; one at least."""
-    body = rows.select(rid, (T.token_estimate(T.preview(F.col("text"), chars)) + 2).cast("bigint").alias("cost")).join(hits.select(rid).distinct(), rid, "left_semi")
+    body = rows.select(rid, (T.token_estimate(T.body(F.col("text"), chars)) + 2).cast("bigint").alias("cost")).join(hits.select(rid).distinct(), rid, "left_semi")
     order = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return hits.join(body, rid).withColumn("spent", F.sum("cost").over(order)).where((F.col("spent") <= budget) | (F.col("rank") == 1)).select("qid", rid, "rank", "cost", "spent")
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import catalog as C
 from ..session import table
 
-_DOC_TYPE = "case when coalesce(lower(trim({0})), '') = '' then 'manual' when lower(trim({0})) in ('manual','datasheet','tutorial','release_notes','article','other') then lower(trim({0})) when lower(trim({0})) in ('user_manual','guide','handbook','api_reference') then 'manual' when lower(trim({0})) = 'spec' then 'datasheet' when lower(trim({0})) = 'release' then 'release_notes' else 'other' end"
+_DOC_TYPE = "case when coalesce(lower(trim({0})), '') = '' then 'manual' when lower(trim({0})) in ('manual','datasheet','tutorial','release_notes','article','other') then lower(trim({0})) when lower(trim({0})) in ('user_manual','api_reference') then 'manual' when lower(trim({0})) in ('quick_start','integration_guide') then 'tutorial' when lower(trim({0})) = 'specification' then 'datasheet' else 'other' end"
 _VENDOR = "nullif(lower(trim(vendor)), '')"
 
 
@@ -154,7 +154,7 @@ def j6_source_metadata(spark: SparkSession, d: str) -> DataFrame:
     return C.source_metadata(table(spark, d, "chunks"))
 
 
-def f14_incremental(spark: SparkSession, d: str) -> DataFrame:
+def p14_incremental(spark: SparkSession, d: str) -> DataFrame:
     return C.changed_sources(table(spark, d, "documents"), table(spark, d, "ingest_manifest")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -177,7 +177,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     reconciled = "reconciled as (select source, s.stored, l.listed, case when s.stored is null then 'missing_in_store' when l.listed is null then 'untracked' when s.stored <> l.listed then 'drift' else 'ok' end as status from (select source, count(*) as stored from chunks where source is not null group by 1) s full outer join (select source, cast(max(chunk_count) as bigint) as listed from ingest_manifest where source is not null group by 1) l using (source))"
-    audit = f"audit as (select source, count(*) as n_chunks, {_first('vendor')}, {_first('doc_type')}, count(distinct nullif(section, '')) as n_sections, bool_or(coalesce(url <> '', false)) as has_url, max(nullif(ingested_at, '')) as newest, count(*) filter (where coalesce(schema_version, 1) < 2) as n_old from chunks where source is not null group by source)"
+    audit = f"audit as (select source, count(*) as n_chunks, arg_max(lower(trim(vendor)), point_id || chr(1) || lower(trim(vendor))) filter (where trim(vendor) <> '') as vendor, {_first('doc_type')}, {_first('product')}, count(distinct nullif(section, '')) as n_sections, bool_or(coalesce(url <> '', false)) as has_url, max(nullif(ingested_at, '')) as newest, count(*) filter (where coalesce(schema_version <> 2, true)) as n_old from chunks where source is not null group by source)"
     return {
         "s1_scan": "select point_id, source, page, content_type from chunks where content_type in ('text', 'image_caption') and schema_version = 2 and vendor = 'corvexa'",
         "s3_corpus": "select point_id, text, source from chunks where trim(text) <> '' and trim(source) <> ''",
@@ -206,5 +206,6 @@ def oracle_sql() -> dict[str, str]:
         "j5_missing_captions": "select distinct point_id, source from chunks where content_type = 'image_caption' and source not in (select source from chunks where content_type = 'text')",
         "j6_source_metadata": "select source, point_id, section, lang, product, content_type from (select *, row_number() over (partition by source order by case when content_type = 'text' then 0 else 1 end, point_id) as rn from chunks where source is not null) where rn = 1",
         "u1_set_differences": "select source, 'manifest' as side from (select source from ingest_manifest except select source from chunks) union all select source, 'store' from (select source from chunks except select source from ingest_manifest) union all select source, 'both' from (select source from chunks intersect select source from ingest_manifest)",
+        "p14_incremental": "with t as (select distinct source, sha256(coalesce(text, '')) as h from documents where source is not null), n as (select source, sha256(count(*) || ':' || bit_xor(cast('0x' || substr(h, 1, 15) as bigint)) || ':' || bit_xor(cast('0x' || substr(h, 16, 15) as bigint))) as digest from t group by 1), m as (select source, max(sha256) as sha256 from ingest_manifest group by 1) select case when m.sha256 is null then 'new' when m.sha256 <> digest then 'replace' else 'skip' end as action, count(*) as n from n left join m using (source) group by 1",
         "u4_required_and_fill": f"with {_LATEST}, need as (select distinct source from chunks where content_type = 'image_caption') select point_id, source, 'required' as why from latest where source in (select source from need) union all select * from (select point_id, source, 'fill' as why from latest where source not in (select source from need) order by sha256('7:' || point_id), point_id limit 1000)",
     }

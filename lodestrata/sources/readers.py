@@ -24,6 +24,21 @@ def list_entries(spark: SparkSession, path: str) -> DataFrame:
     return kept.groupBy("path", "entry").agg(F.min("line_no").alias("line_no")).select("path", "line_no", "entry")
 
 
+def required_entries(spark: SparkSession, path: str) -> DataFrame:
+    """list_entries; an error where a list has none."""
+    entries = list_entries(spark, path)
+    if entries.isEmpty():
+        raise ValueError(f"no entries in {path}")
+    return entries
+
+
+def by_extension(spark: SparkSession, path: str) -> DataFrame:
+    """path, kind (html, pdf or text) and text of each file; pdf files have no text here, their bytes go to a reader of their own."""
+    kind = lambda c: F.when(F.lower(c).rlike(r"\.html?$"), "html").when(F.lower(c).endswith(".pdf"), "pdf").otherwise("text")
+    files = whole_files(spark, path).withColumn("kind", kind(F.col("path")))
+    return files.select("path", "kind", F.when(F.col("kind") != "pdf", F.col("text")).alias("text"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines with the given fields and malformed: the line as it stands where it can't be read, else null."""
     rows = spark.read.text(path).select(F.trim("value").alias("value")).where("value != '' and not startswith(value, '#')")
@@ -58,7 +73,7 @@ def vtt_cues(files: DataFrame) -> DataFrame:
 class _Sections(HTMLParser):
     """Collects the text below each heading; script, style, navigation and comments are left out."""
 
-    SKIP = {"script", "style", "nav", "noscript", "template", "head"}
+    SKIP = {"script", "style", "nav", "header", "footer", "iframe", "noscript", "template", "head"}
     HEADINGS = {"h1", "h2", "h3", "h4"}
     BLOCKS = {"p", "div", "li", "br", "tr", "section", "article", "ul", "ol", "table", "blockquote", "pre"}
 
