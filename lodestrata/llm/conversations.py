@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import seconds_of
 from ..session import fresh_dir
-from ..streaming.events import read_stream
+from ..streaming.events import read_stream, run_to_end, with_end
 from .common import is_blank
 
 #: Spellings of the roles, in lower case without outer blanks.
@@ -23,8 +23,6 @@ ROLE_SPELLINGS = {
 PART = "10 minutes"
 #: How long the watermark waits for late rows in a running stream, and how long a silent conversation stays open.
 DELAY, IDLE = "1 day", "1 day"
-#: Event time of the row that ends a bounded input.
-END = "9000-01-01 00:00:00"
 
 
 def role_of(role: Column) -> Column:
@@ -128,36 +126,7 @@ def closed(summaries: DataFrame, idle: int) -> DataFrame:
     return summaries.groupBy("session_id").transformWithState(Conversation(idle), "session_id string, present boolean, broken boolean, unanswered boolean", "Append", "EventTime")
 
 
-def _until_end(stream: DataFrame, end: DataFrame, out: str, schema: str) -> DataFrame:
-    """What a bounded stream writes: it runs until its input is read, then once more with the row that ends it.
-
-    The row comes to the stream's second source, the folder out/end, only after the last batch of input, so that the
-    watermark moves past all windows and timers when nothing can be late any more, however many batches there were.
-    """
-    spark = stream.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for last in (False, True):
-            if last:
-                end.coalesce(1).write.mode("append").parquet(f"{out}/end")
-            stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(schema).parquet(f"{out}/rows")
-
-
-def _with_end(stream: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
-    """The stream with its second source, the still empty folder out/end, and the row that will end it."""
-    spark = stream.sparkSession
-    nulls = [F.lit(END).cast("timestamp").alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
-    end = spark.range(1).select(*nulls)
-    end.where("false").write.parquet(f"{out}/end")
-    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{out}/end")), end
-
-
 _PARTS = "session_id string, ts timestamp, messages array<struct<at:double,id:bigint,role:string,content:string,no_time:boolean>>"
-_CLOSED = "session_id string, present boolean, broken boolean, unanswered boolean"
 
 
 def _span(spark: SparkSession, path: str) -> tuple[Column, int]:
@@ -181,8 +150,8 @@ def run_bounded(spark: SparkSession, path: str, part: str = PART, delay: str | N
     """
     out = fresh_dir(spark, "conversations")
     rows, wait, span = _messages(spark, path, files_per_batch, delay)
-    rows, end = _with_end(rows, out)
-    return _until_end(closed(summarised(buffered(rows, part, wait)), span), end, out, _CLOSED)
+    rows, end = with_end(rows, out)
+    return run_to_end(closed(summarised(buffered(rows, part, wait)), span), end, out)
 
 
 def run_parts(spark: SparkSession, path: str, part: str = PART, delay: str | None = None, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -192,11 +161,11 @@ def run_parts(spark: SparkSession, path: str, part: str = PART, delay: str | Non
     """
     out = fresh_dir(spark, "parts")
     rows, wait, span = _messages(spark, path, files_per_batch, delay)
-    rows, end = _with_end(rows, out)
-    parts = _until_end(buffered(rows, part, wait), end, out, _PARTS)
+    rows, end = with_end(rows, out)
+    parts = run_to_end(buffered(rows, part, wait), end, out)
     then = fresh_dir(spark, "conversations")
-    summaries, end = _with_end(summarised(spark.readStream.schema(_PARTS).parquet(f"{out}/rows")), then)
-    return parts, _until_end(closed(summaries.withWatermark("ts", f"{span + 3600} seconds"), span), end, then, _CLOSED)
+    summaries, end = with_end(summarised(spark.readStream.schema(_PARTS).parquet(f"{out}/rows")), then)
+    return parts, run_to_end(closed(summaries.withWatermark("ts", f"{span + 3600} seconds"), span), end, then)
 
 
 def judged(verdicts: DataFrame, messages: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, join_checked
-from .common import before, is_blank
+from ..session import before, checkpointed, join_checked
+from .common import is_blank
 
 #: Filled lines at the top and at the bottom of a page where a running header or page number stands: what recurs further inside is
 #: body (searching all lines gave 566 more rows at sf0.1, body lines and lists, and none of the rest).

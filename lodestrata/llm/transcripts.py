@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, join_checked
-from .common import before
+from ..session import before, checkpointed, join_checked
 
 #: Seconds of a video that are ordered together; longer videos are split and joined again.
 PART_SECONDS = 300
