@@ -83,7 +83,7 @@ def hash_vector(text: Column, size: int = 32) -> Column:
 def term_vector(text: Column, size: int = 32) -> Column:
     """How many terms of a text fall into each of size cells, by the first byte of their SHA-256: a plain dense vector that needs no model."""
     cells = F.transform(terms(text), lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 2), 16, 10).cast("int") % size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
+    return F.aggregate(cells, F.array_repeat(F.lit(0.0), size), lambda acc, c: F.transform(acc, lambda v, i: F.when(i == c, v + 1).otherwise(v)))
 
 
 def in_sample(text: Column, rate: float) -> Column:
@@ -176,11 +176,11 @@ def caption_text(raw: Column, size: int = 600) -> Column:
 def snippet(text: Column, size: int = 1200) -> Column:
     """A text cut behind the last sentence, else line, in the second half of its first size signs, with an ellipsis."""
     window = F.substring(text, 1, size)
-    cut = F.rtrim(window)
+    cut = F.regexp_replace(window, r"\s+$", "")
     for mark in ("\n", ".\n", ". "):
         at = size - F.instr(F.reverse(window), mark[::-1]) - len(mark) + 2
         found = F.contains(window, F.lit(mark)) & (at - 1 > size // 2)
-        cut = F.when(found, F.trim(F.substr(window, F.lit(1), at))).otherwise(cut)
+        cut = F.when(found, F.regexp_replace(F.substr(window, F.lit(1), at), r"^\s+|\s+$", "")).otherwise(cut)
     return F.when(F.length(text) <= size, text).otherwise(F.concat(cut, F.lit("…")))
 
 

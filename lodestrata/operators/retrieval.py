@@ -60,25 +60,32 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, qid: str = "qid", rid:
     pairs = join_checked(packed(rows, rid, vec, g).toDF(g, "rids", "rm"), asked, [g], "inner", salt_by="rids")
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for qids, qm, rids, rm in zip(batch["qids"], batch["qm"], batch["rids"], batch["rm"], strict=True):
                 a, b = (np.frombuffer(m, dtype=t).astype(np.float64).reshape(len(i), -1) for m, t, i in ((qm, types[0], qids), (rm, types[1], rids)))
                 norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
                 score = np.round(np.divide(a @ b.T, norm, out=np.zeros_like(norm), where=norm > 0), 9) + 0.0
-                ids = np.broadcast_to(np.asarray(rids), score.shape)
+                least = np.partition(score, -k, axis=1)[:, [-k]] if score.shape[1] > k else np.full((len(a), 1), -np.inf)
+                row, at = np.nonzero(score >= least)
+                found = (row, score[row, at], np.asarray(rids)[at])
                 key = tuple(qids)
-                if key in best:
-                    score, ids = np.concatenate([best[key][0], score], axis=1), np.concatenate([best[key][1], ids], axis=1)
-                order = np.lexsort((ids, -score), axis=1)[:, :k]
-                best[key] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-        for key, (score, ids) in best.items():
-            yield pd.DataFrame({"qid": np.repeat(np.asarray(key), score.shape[1]), "rid": ids.ravel(), "score": score.ravel()})
+                best[key] = _first_of_rows(*(np.concatenate(x) for x in zip(best[key], found, strict=True)), k) if key in best else _first_of_rows(*found, k)
+        for key, (row, score, ids) in best.items():
+            yield pd.DataFrame({"qid": np.asarray(key)[row], "rid": ids, "score": score})
 
     hits = pairs.select("qids", "qm", "rids", "rm").mapInPandas(local, f"qid {kinds[0]}, rid {kinds[1]}, score double")
     return ranked(hits, "score", "rid", k).select(F.col("qid").alias(qid), F.col("rid").alias(rid), "score", "rank")
 
 
+def _first_of_rows(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries (row, score, id) the first k of each row by falling score, then id."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, row))
+    row, score, ids = row[order], score[order], ids[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], score[kept], ids[kept]
+
+
 def ranked(hits: DataFrame, score: str, tie: str, k: int | None = None, qid: str = "qid") -> DataFrame:
     """hits with rank (from 1) by falling score, ties by tie; with k, the first k of each question."""
     out = hits.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc(score), tie)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, retrieval_queries, text_queries
+from . import catalog_queries, ingest_queries, retrieval_queries, text_queries
 
-_MODULES = (catalog_queries, retrieval_queries, text_queries)
+_MODULES = (catalog_queries, ingest_queries, retrieval_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -243,12 +243,12 @@ def _cut_sql(x: str, size: int) -> str:
 
 
 def _snippet_sql(x: str, size: int) -> str:
-    """The same by the last place of each mark, counted from the reversed window."""
     window, out = f"substr({x}, 1, {size})", ""
-    for mark, back in (("'. '", "' .'"), ("'.' || chr(10)", "chr(10) || '.'"), ("chr(10)", "chr(10)")):
-        at = f"(length({window}) - strpos(reverse({window}), {back}) - length({mark}) + 1)"
-        out += f" when contains({window}, {mark}) and {at} > {size // 2} then trim(substr({window}, 1, {at} + 1), ' ') || '…'"
-    return f"case when length({x}) <= {size} then {x}{out} else rtrim({window}, ' ') || '…' end"
+    for mark in ("\\. ", "\\.\\n", "\\n"):
+        at = f"length(regexp_extract({window}, '(?s)^(.*){mark}', 1))"
+        out += f" when regexp_matches({window}, '{mark}') and {at} > {size // 2} then {_strip(f'substr({window}, 1, {at} + 1)')} || '…'"
+    tail = f"regexp_replace({window}, '\\s+$', '')"
+    return f"case when length({x}) <= {size} then {x}{out} else {tail} || '…' end"
 
 
 def oracle_sql() -> dict[str, str]:
