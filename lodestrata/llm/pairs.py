@@ -29,6 +29,8 @@ LANGUAGE_WORDS = {
 LANGUAGES = sorted(LANGUAGE_WORDS)
 #: Rows whose letters fit the language profiles (the first by hash), and the cells of a profile.
 FIT_ROWS, CELLS = 20_000, 1 << 15
+#: Share of all cells that were never seen, and signs up to which a profile counts for little.
+UNSEEN, FEW_SIGNS = 0.02, 1000
 #: Function words that label a text for fitting.
 LEAST_WORDS = 3
 #: Letters and blanks of an answer from which its language is judged by letters.
@@ -109,9 +111,15 @@ def language_profiles(feedback: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarr
 
     sample = feedback.select("feedback_id", "question", "answer").orderBy(F.xxhash64("feedback_id"), "feedback_id").limit(fit_rows).select("question", "answer")
     rows = sample.mapInPandas(run, "lang int, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((len(LANGUAGES), CELLS), 0.05)
-    counts[rows["lang"], rows["cell"]] += rows["n"]
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    counts = np.zeros((len(LANGUAGES), CELLS))
+    counts[rows["lang"], rows["cell"]] = rows["n"]
+    return log_shares(counts)
+
+
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """Log shares of the cells of each language; what was never seen has the same small share in all, however much was counted,
+    and a language of which little was seen speaks softly."""
+    return np.log(counts / (counts.sum(axis=1, keepdims=True) + FEW_SIGNS) + UNSEEN / CELLS)
 
 
 @lru_cache(maxsize=10_000)

@@ -19,6 +19,8 @@ PART_SECONDS = 300
 PART_CUES = 5000
 #: Cues from which the tagger is fitted: the first by hash, so the same at any partitioning; rounds of the fit.
 FIT_CUES, FIT_ROUNDS = 20_000, 6
+#: Occurrences that the prior of the tagger counts for.
+PRIOR = 20
 STATES = ["speaker", "timestamp", "annotation", "filler", "speech"]
 #: Sounds that fill a pause, in the four languages.
 FILLER = re.compile(r"(?:u+h*m*|u+h+|e+r+m*|e+h+m*|ä+h*m*|ä+h+|h+m+|m+h*m+|a+h+|e+u+h+|e+h+|ö+h*m*|pff+|ahem|este|mhm)", re.I)
@@ -133,14 +135,16 @@ def _all_symbols() -> list[str]:
 class Tagger:
     """A hidden Markov model over what is seen of the tokens of a line; clear classes have their one label.
 
-    counts holds the expected starts, steps and observations; without any it knows nothing but the clear classes.
+    counts holds the expected starts, steps and observations. To them comes a prior of PRIOR occurrences, for corpora of a few
+    lines: what stands before a sign or role that ends a label leans to the label, anything else to what is said.
     """
 
     def __init__(self, counts: dict[tuple[str, str, str], float]):
         self.seen = {x: i for i, x in enumerate(_all_symbols())}
         self.start = self._share(np.array([counts.get(("start", s, ""), 0.0) for s in STATES]))
         self.step = self._share(np.array([[counts.get(("step", a, b), 0.0) for b in STATES] for a in STATES]))
-        self.look = self._share(np.array([[counts.get(("look", a, o), 0.0) for o in self.seen] for a in STATES]))
+        leans = {o: "speaker" if o.split(" ")[1] in ("namec", "sep", "role") or o.startswith(("sep", "role")) else "speech" for o in self.seen if o not in CLEAR}
+        self.look = self._share(np.array([[counts.get(("look", a, o), 0.0) + PRIOR * (leans.get(o) == a) for o in self.seen] for a in STATES]))
         may = np.array([[CLEAR.get(o.split(" ")[0], s) == s and (o in CLEAR or s in _OPEN) for o in self.seen] for s in STATES])
         self.look = self.look * may
         with np.errstate(divide="ignore"):
