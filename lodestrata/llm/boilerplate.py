@@ -15,7 +15,7 @@ REFERENCE_PAGES = 500
 #: Branches below this composite importance are removed.
 LEAST_IMPORTANCE = 0.5
 #: The part of the presentation above a node in its composite importance; the rest is that of its content.
-PRESENTATION_WEIGHT = 0.2
+PRESENTATION_WEIGHT = 0.1
 #: The key of the tree of all pages.
 MERGED = 0
 #: Pages that must share a node before it counts as repeated at all.

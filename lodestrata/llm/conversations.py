@@ -97,7 +97,7 @@ class Conversation(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         if key[0] is None:
             return iter(())
-        last, present, broken, unanswered, closes = self.kept.get() if self.kept.exists() else ("^", False, False, False, 0)
+        last, present, broken, unanswered, closes = self.kept.get() or ("^", False, False, False, 0)
         ends = closes
         for r in sorted(rows, key=lambda r: r.ts):
             broken = broken or r.broken or last + r.first in BREAKS
