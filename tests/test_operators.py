@@ -118,16 +118,71 @@ def test_catalog_with_nulls_repeats_and_no_rows(spark):
     assert {r.source for r in catalog.upserted(df.where("point_id is not null"), new).where("point_id in ('3', '9')").collect()} == {"c"}
 
 
-def test_steps_keep_or_drop_the_preamble(spark):
-    df = spark.createDataFrame([(1, "Head\n\n1. one\nmore\n2. two"), (2, "plain\n1. only"), (3, ""), (4, None)], "doc_id bigint, text string")
-    assert [r.text.strip() for r in chunking.steps(df).where("doc_id = 1").orderBy("part_no").collect()] == ["Head", "1. one\nmore", "2. two"]
-    assert chunking.steps(df, False).where("doc_id = 1").count() == 2
-    assert {r.doc_id for r in chunking.steps(df).collect()} == {1, 2}
+def test_steps_without_the_preamble(spark):
+    df = spark.createDataFrame([(1, "Head\n\n1. one\nmore\n2. two"), (2, "plain\n1. only"), (3, ""), (4, None), (5, "Step 1: a\nStep 2: b")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.part_no): r.text for r in chunking.steps(df).collect()}
+    assert got == {(1, 0): "1. one\nmore", (1, 1): "2. two", (2, 0): "plain\n1. only", (5, 0): "Step 1: a", (5, 1): "Step 2: b"}
+
+
+def test_markdown_sections(spark):
+    df = spark.createDataFrame([(1, "lead\n# *One*\nbody\n```\n# no heading\n```\n![x](y)\n## Two ##"), (2, None), (3, "")], "doc_id bigint, text string")
+    got = {(r.section_no, r.heading): r.body for r in chunking.markdown_sections(df).collect()}
+    assert got == {(0, None): "lead", (1, "One"): "body\n```\n# no heading\n```", (2, "Two"): ""}
+
+
+CUES = "video_id string, cue_id bigint, start_seconds double, end_seconds double, text string"
 
 
 def test_fresh_lines_across_parts(spark):
-    cues = spark.createDataFrame([("v", 1, 299.0, "a\nb"), ("v", 2, 301.0, "b\nc"), ("v", 3, 302.0, None), ("v", 4, 303.0, "c<i>!</i>"), (None, 5, 1.0, "x")], "video_id string, cue_id bigint, start_seconds double, text string")
-    assert {(r.cue_id, tuple(r.lines)) for r in timed.fresh_lines(cues).collect()} == {(1, ("a", "b")), (2, ("c",)), (4, ("c!",))}
+    cues = spark.createDataFrame([("v", 1, 299.0, 300.0, "a\nb"), ("v", 2, 301.0, 302.0, "B\nc"), ("v", 3, 302.0, None, None), ("v", 4, 303.0, 304.0, "c<i>!</i>\nC! more"), (None, 5, 1.0, 2.0, "x")], CUES)
+    assert {(r.cue_id, tuple(r.lines)) for r in timed.fresh_lines(cues).collect()} == {(1, ("a", "b")), (2, ("c",)), (4, ("C! more",))}
+
+
+def test_windows_do_not_depend_on_the_parts(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(v, i, float(i * 7), i * 7 + 5.0, " ".join(["word"] * rng.randrange(1, 30))) for v in ("v", "w") for i in range(90 if v == "v" else 3)]
+    cues = timed.spoken_cues(spark.createDataFrame([r[:4] + (f"{r[4]} {r[1]}",) for r in rows], CUES))
+    for windows in (timed.packed_windows, timed.span_windows):
+        whole, parts = ({tuple(r) for r in windows(cues, part_rows=n).collect()} for n in (5000, 40))
+        assert whole == parts and whole
+    assert all(len(r.text) <= 1500 for r in timed.packed_windows(cues).collect()) and all(r.end - r.start <= 45 for r in timed.span_windows(cues).collect())
+    assert timed.packed_windows(cues.limit(0)).count() == 0
+
+
+def test_expected_sources_and_needles(spark):
+    rows = chunks(spark, [{"point_id": "a", "source": "s", "content_type": "text", "text": "x"}, {"point_id": "b", "source": "t", "content_type": "image_caption", "text": "A Red Box"}, {"point_id": "c", "source": "u"}])
+    hits = spark.createDataFrame([(1, "c", 1), (1, "a", 2), (1, "b", 6), (2, "b", 1), (3, "b", 1)], "qid bigint, point_id string, rank int")
+    items = spark.createDataFrame([(1, ["s", "t"], "red "), (2, ["t"], "blue"), (3, [], ""), (4, ["s"], None), (5, None, None)], "qid bigint, expected array<string>, needle string")
+    got = {r.qid: tuple(r)[1:] for r in evaluation.expected_metrics(hits, items, rows).collect()}
+    assert got == {1: (1, 1, 0.5, 0, 1, 0, 1), 2: (1, 1, 1.0, 1, 1, 0, 0), 3: (0, 0, 0.0, 0, 0, 0, 0), 4: (0, 0, 0.0, 0, 0, 0, 0), 5: (0, 0, 0.0, 0, 0, 0, 0)}
+
+
+def test_term_hashes_and_versions(spark):
+    import zlib
+
+    df = spark.createDataFrame([("héllo",), ("x_v2.10.3_y",), ("tool V19 notes",), ("manual_317_en",), ("plain",)], "t string")
+    got = df.select("t", T.term_hash(F.col("t")), T.version_of_name(F.col("t"))).collect()
+    assert [r[1] for r in got] == [zlib.crc32(r[0].encode()) for r in got]
+    assert [r[2] for r in got] == ["", "2.10.3", "19", "3.17.0", ""]
+
+
+def test_upserts_and_queues(spark):
+    old, new = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "k string, n int, t string"), spark.createDataFrame([("b", 3, None), ("c", 4, "y")], "k string, n int, t string")
+    assert {tuple(r) for r in catalog.upserted(old, new, "k").collect()} == {("a", 1, None), ("b", 3, None), ("c", 4, "y")}
+    assert {tuple(r) for r in catalog.merged(old, new, "k").collect()} == {("a", 1, None), ("b", 3, "x"), ("c", 4, "y")}
+    assert {tuple(r) for r in catalog.appended_new(old, new.unionByName(new), ["k"], "n").collect()} == {("a", 1, None), ("b", 2, "x"), ("c", 4, "y")}
+
+
+def test_streams_in_any_number_of_batches(spark, tmp_path):
+    from lodestrata.streaming import events
+
+    rows = [(i, i % 7, "abc"[i % 3], float(i), (i * 7919) % 400000) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, s bigint").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+    df.repartition(4).write.parquet(str(tmp_path / "e"))
+    windows, runs = ([{tuple(r) for r in f(spark, str(tmp_path / "e"), files_per_batch=n).collect()} for n in (None, 1)] for f in (events.event_windows, events.runs))
+    assert windows[0] == windows[1] and runs[0] == runs[1] and sum(r[2] for r in windows[0]) == sum(r[2] for r in runs[0]) == 300
 
 
 def test_clock(spark):

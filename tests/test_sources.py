@@ -62,3 +62,14 @@ def test_passing_errors_are_tried_again():
         return texts
 
     assert providers.isolated(model, ["a"], wait=0) == ["a"] and len(calls) == 3
+
+
+def test_files_by_extension_and_empty_lists(spark, tmp_path):
+    import pytest
+
+    for name, text in (("a.HTML", "<p>x</p>"), ("b.pdf", "%PDF"), ("c.txt", "plain"), ("list", "# only\n\n")):
+        (tmp_path / name).write_text(text)
+    got = {r.path.rsplit("/", 1)[1]: (r.kind, r.text) for r in readers.by_extension(spark, str(tmp_path)).collect()}
+    assert got["a.HTML"] == ("html", "<p>x</p>") and got["b.pdf"] == ("pdf", None) and got["c.txt"] == ("text", "plain")
+    with pytest.raises(ValueError):
+        readers.required_entries(spark, str(tmp_path / "list"))
