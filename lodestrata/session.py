@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a join side is broadcast after it has been measured.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 #: Salt values by which the large side of a join that cannot broadcast is spread.
 SALTS = 16
 _made: dict[str, list[str]] = {}
