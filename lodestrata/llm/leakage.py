@@ -170,11 +170,11 @@ def leaked_windows(documents: DataFrame, items: DataFrame, plan: dict[int, int],
     of_items = windows_with_keys(sized, "item_id", plan, bits, steps).join(sized.select("item_id", "own").distinct(), "item_id").where("size = own")
     of_items = of_items.select("item_id", "size", F.col("pos").alias("item_pos"), F.col("win").alias("item_win"), "lsh", F.xxhash64("item_id", "size", "pos").alias("wid"))
     of_items = checkpointed(of_items.dropDuplicates(["wid"]))
-    keys = checkpointed(of_items.select("size", "wid", F.explode("lsh").alias("lsh")))
+    keys = checkpointed(of_items.select("wid", F.explode("lsh").alias("lsh")))
     doc_words = documents.select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= min(plan))
     hits = windows_with_keys(doc_words, "doc_id", plan, bits, steps, key_filter(keys)).withColumnsRenamed({"pos": "doc_pos", "win": "doc_win"})
-    pairs = join_checked(hits.withColumn("lsh", F.explode("lsh")), keys, ["lsh", "size"], "inner", salt_by="doc_id")
-    pairs = join_checked(pairs, of_items.drop("lsh", "size"), ["wid"], "inner", salt_by="doc_id")
+    pairs = join_checked(hits.withColumn("lsh", F.explode("lsh")), keys, ["lsh"], "inner", salt_by="doc_id")  # the size is part of a key
+    pairs = join_checked(pairs, of_items.drop("lsh").withColumnRenamed("size", "item_size"), ["wid"], "inner", salt_by="doc_id").where("size = item_size")
     ids = {k: dict(pairs.dtypes)[k] for k in ("doc_id", "item_id")}
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
