@@ -28,6 +28,8 @@ NEAR_BITS, NEAR_STEPS = 4, 2
 RECALL, MAX_EDITS = 0.95, 3
 #: Bits of the filter through which the keys of documents go before they are joined (8 MB, whatever the number of items).
 FILTER_BITS = 1 << 26
+#: Keys of items, two numbers each, up to which they are broadcast (the bytes are measured, too).
+MAX_KEYS = 500_000
 SEED = 20240229
 
 
@@ -173,7 +175,7 @@ def leaked_windows(documents: DataFrame, items: DataFrame, plan: dict[int, int],
     keys = checkpointed(of_items.select("wid", F.explode("lsh").alias("lsh")))
     doc_words = documents.select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= min(plan))
     hits = windows_with_keys(doc_words, "doc_id", plan, bits, steps, key_filter(keys)).withColumnsRenamed({"pos": "doc_pos", "win": "doc_win"})
-    pairs = join_checked(hits.withColumn("lsh", F.explode("lsh")), keys, ["lsh"], "inner", salt_by="doc_id")  # the size is part of a key
+    pairs = join_checked(hits.withColumn("lsh", F.explode("lsh")), keys, ["lsh"], "inner", MAX_KEYS, salt_by="doc_id")  # the size is part of a key
     pairs = join_checked(pairs, of_items.drop("lsh").withColumnRenamed("size", "item_size"), ["wid"], "inner", salt_by="doc_id").where("size = item_size")
     ids = {k: dict(pairs.dtypes)[k] for k in ("doc_id", "item_id")}
 
