@@ -112,12 +112,12 @@ def join_checked(left: DataFrame, right: DataFrame, keys: list[str], how: str =
 
 
 def join_salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS, salt_by: str | None = None) -> DataFrame:
-    """A shuffled join whose left side is spread over salts; right rows are repeated for each salt."""
+    """A shuffled join whose left side is spread over salts; right rows are repeated for each salt, so they are never broadcast."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"no salted {how} join")
     salt = F.pmod(F.xxhash64(*([salt_by] if salt_by else left.columns)), F.lit(salts))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.withColumn("_salt", salt.cast("bigint")).join(spread, [*keys, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", salt.cast("bigint")).join(spread.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
