@@ -214,11 +214,11 @@ def misread_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     """
     rows = lines.select("point_id", "line_no", _words(F.col("line")).alias("ws"))
     at = lambda i: F.coalesce(F.try_element_at("ws", i), F.lit(""))
-    tokens = rows.select("point_id", "line_no", "ws", F.posexplode("ws").alias("i", "word"))
+    entry = lambda x, i: F.struct(x.alias("word"), F.when(i > 0, at(F.greatest(i, F.lit(1)))).otherwise("").alias("l"), at(i + 2).alias("r"))
+    tokens = rows.select("point_id", "line_no", F.posexplode(F.transform("ws", entry)).alias("i", "e")).select("point_id", "line_no", "i", "e.word", "e.l", "e.r")
     forms = misread_forms(words)
     found = join_checked(tokens, forms, ["word"], "inner", salt_by="point_id")
-    before = F.when(F.col("i") > 0, at(F.greatest(F.col("i"), F.lit(1)))).otherwise("")
-    found = checkpointed(found.select("point_id", "line_no", "i", "word", "n", "form", "form_n", "odd", before.alias("l"), at(F.col("i") + 2).alias("r")))
+    found = checkpointed(found.select("point_id", "line_no", "i", "word", "n", "form", "form_n", "odd", "l", "r"))
     sides = [F.struct(F.lit(w).alias("of"), F.xxhash64(*pair).alias("pair")) for w in ("form", "word") for pair in (("l", w), (w, "r"))]
     sides = found.where("not odd").select("point_id", "line_no", "i", "form", F.explode(F.array(*sides)).alias("s")).select("point_id", "line_no", "i", "form", "s.of", "s.pair")
     asked = sides.select("pair").distinct()
