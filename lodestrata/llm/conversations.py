@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from datetime import timezone
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -122,7 +124,11 @@ class Conversation(StatefulProcessor):
 
 
 def closed(summaries: DataFrame, idle: int) -> DataFrame:
-    """session_id, present, broken, unanswered of each conversation, emitted when it has been silent for idle seconds."""
+    """session_id, present, broken, unanswered of each conversation, emitted when it has been silent for idle seconds.
+
+    The processor travels by value: the worker that sets up its state beside the driver doesn't see files added to the session.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return summaries.groupBy("session_id").transformWithState(Conversation(idle), "session_id string, present boolean, broken boolean, unanswered boolean", "Append", "EventTime")
 
 

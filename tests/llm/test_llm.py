@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -483,3 +485,14 @@ def test_checksums():
     assert personal.luhn("4111 1111 1111 1111") and not personal.luhn("4111 1111 1111 1112") and not personal.luhn("0000")
     assert personal._checked("4111 1111 1111 1112") < 0 < personal._checked("4111 1111 1111 1111") and personal._checked("12345678") == 0
     assert personal.mod97("DE89 3704 0044 0532 0130 00") and not personal.mod97("DE89 3704 0044 0532 0130 01")
+
+
+def test_state_of_conversations_needs_no_package_on_the_worker(tmp_path):
+    """The processor can be loaded and used by a Python that can't import the package."""
+    from pyspark.serializers import CloudPickleSerializer
+
+    conversations.cloudpickle.register_pickle_by_value(conversations)
+    held = tmp_path / "processor"
+    held.write_bytes(CloudPickleSerializer().dumps(conversations.Conversation(5)))
+    code = f"import pickle; c = pickle.load(open({str(held)!r}, 'rb')); assert c.idle_ms == 5000; assert 'aa' in c.handleInputRows.__globals__['BREAKS']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
