@@ -86,7 +86,8 @@ class Conversation(StatefulProcessor):
 
     Parts come in order of time, for a window closes only once the watermark has passed it; those of one batch are sorted
     here, a short row each. When the watermark has passed the last part by idle seconds, the verdict is emitted and the
-    state is dropped; a session that speaks again after that is a new conversation.
+    state is dropped (at once, where it has passed when the part comes); a session that speaks again after that is a new
+    conversation.
     """
 
     def __init__(self, idle_seconds: int):
@@ -107,6 +108,11 @@ class Conversation(StatefulProcessor):
             present = present or r.present
             last = r.last
             ends = max(ends, int(r.ts.replace(tzinfo=timezone.utc).timestamp() * 1000) + self.idle_ms)
+        if ends < timerValues.getCurrentWatermarkInMs():
+            if closes:
+                self.handle.deleteTimer(closes)
+                self.kept.clear()
+            return iter((self.verdict(key, last, present, broken, unanswered),))
         if ends != closes:
             if closes:
                 self.handle.deleteTimer(closes)
@@ -117,7 +123,10 @@ class Conversation(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last, present, broken, unanswered, _ = self.kept.get()
         self.kept.clear()
-        yield Row(session_id=key[0], present=present, broken=broken, unanswered=unanswered or last + "$" in LEAVES)
+        yield self.verdict(key, last, present, broken, unanswered)
+
+    def verdict(self, key, last, present, broken, unanswered) -> Row:
+        return Row(session_id=key[0], present=present, broken=broken, unanswered=unanswered or last + "$" in LEAVES)
 
     def close(self) -> None:
         pass
