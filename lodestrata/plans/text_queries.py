@@ -251,6 +251,13 @@ def _snippet_sql(x: str, size: int) -> str:
     return f"case when length({x}) <= {size} then {x}{out} else {tail} || '…' end"
 
 
+def _piece_end_sql(start: str) -> str:
+    """Where a piece of 1,500 characters ends that begins at start: after the last paragraph, line or space in its second half."""
+    half = f"substr(text, {start} + 751, 750)"
+    after = [f"when contains({half}, {m}) then {start} + 750 + length(regexp_extract({half}, '(?s)^.*' || {m}))" for m in ("chr(10) || chr(10)", "chr(10)", "' '")]
+    return f"case when length(text) - {start} <= 1500 then length(text) {' '.join(after)} else {start} + 1500 end"
+
+
 def oracle_sql() -> dict[str, str]:
     key = "source || '|' || coalesce(cast(page as varchar), 'None') || '|' || cast(coalesce(chunk_index, 0) as varchar)"
     glossed = "trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g'), ' ')"
@@ -266,6 +273,10 @@ def oracle_sql() -> dict[str, str]:
         "f6_bodies": "select distinct point_id, case when length(text) > 1000 then substr(text, 1, 1000) || '…' else text end as body from chunks where text is not null",
         "p11_captions": "select distinct point_id, case when length(t) < 15 then 'too short' when regexp_matches(t, '(?i)^\\s*ids?\\s*[=:]') then 'ids prefix' when regexp_matches(t, '\\[\\s*(?:\\d+\\.\\d+\\s*,\\s*)+\\d+\\.\\d+\\s*\\]') then 'decimal coordinate array' when length(regexp_replace(t, '[^0-9.,\\[\\] \\t]', '', 'g')) / length(t) > 0.5 then 'mostly coordinates/numbers' end as reason from (select point_id, coalesce(text, '') as t from chunks where content_type = 'image_caption')",
         "f7_steps": f"with m as (select doc_id, t, string_split(regexp_replace(t, '((?:^|\\n)\\s*(?:Step\\s+)?[0-9]{{1,2}}[.):]\\s+)', chr(1) || '\\1', 'gi'), chr(1)) as p from (select doc_id, {_strip('text')} as t from documents where text is not null) where t <> ''), q as (select doc_id, case when len(p) < 3 then [t] else list_filter(list_transform(list_slice(p, 2, len(p)), lambda x: {_strip('x')}), lambda x: x <> '') end as parts from m) select doc_id, cast(i as integer) as part_no, cast(length(part) as integer) as n, sha256(part) as digest from (select doc_id, unnest(range(len(parts))) as i, unnest(parts) as part from q)",
+        "w10_sections": "with l as (select doc_id, unnest(range(len(s))) as i, unnest(s) as x, unnest(list_prepend('', s[:-2])) as before from (select doc_id, string_split(text, chr(10)) as s from documents where text <> '')), h as (select *, trim(x, ' ') <> '' and length(x) <= 80 and not regexp_matches(x, '[.:;,!?0-9)]\\s*$') and not regexp_matches(x, '^\\s*(?:[-*]|[0-9]+[.)])') and trim(before, ' ') = '' as is_heading from l), n as (select *, count(*) filter (is_heading) over (partition by doc_id order by i) as section_no from h) select doc_id, cast(section_no as integer) as section_no, max(trim(x, ' ')) filter (is_heading) as heading, cast(count(*) as integer) as n_lines from n group by 1, 2",
+        "w13_fences": "with l as (select doc_id, unnest(range(len(s))) as i, unnest(s) as x from (select doc_id, string_split_regex(text, '\\r?\\n') as s from documents where text <> '')), f as (select *, starts_with(ltrim(x, ' '), '```') as fence from l), c as (select doc_id, i, x, fence or count(*) filter (fence) over (partition by doc_id order by i) % 2 = 1 as code from f), h as (select doc_id, i, x, case when not code and regexp_matches(x, '^#{1,6}\\s+\\S') then trim(regexp_replace(regexp_replace(regexp_replace(x, '^#{1,6}\\s+|\\s*#*\\s*$', '', 'g'), '[*_`]', '', 'g'), '\\s+', ' ', 'g'), ' ') end as heading from c where code or not regexp_matches(trim(x, ' '), '^!\\[[^\\]]*\\]\\([^)]*\\)$')), n as (select *, count(heading) over (partition by doc_id order by i) as section_no from h), o as (select doc_id, section_no, max(heading) as heading, regexp_replace(coalesce(string_agg(x, chr(10) order by i) filter (heading is null), ''), '^\\s+|\\s+$', '', 'g') as body from n group by 1, 2) select * from o where body <> '' or heading is not null",
+        "f2_term_hashes": "with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents), h as (select term, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(term, ''), lambda c: ascii(c)::bigint)), lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::bigint) as place from t) select place, count(*) as n, min(term) as term from h group by 1",
+        "f8_chunks": f"with recursive s as (select doc_id, text, 0 as chunk_index, 0 as start, {_piece_end_sql('0')} as stop from documents where text <> '' union all select doc_id, text, chunk_index + 1, nxt, {_piece_end_sql('nxt')} from (select doc_id, text, chunk_index, case when strpos(substr(text, lo + 1, stop - lo), ' ') > 0 then lo + strpos(substr(text, lo + 1, stop - lo), ' ') else stop end as nxt from (select *, greatest(stop - 150, start + 1) as lo from s where stop < length(text)))) select doc_id, chunk_index, cast(start as integer) as start, cast(stop as integer) as stop, trim(substr(text, start + 1, stop - start), ' ') as text from s where trim(substr(text, start + 1, stop - start), ' ') <> ''",
         "v38_headings": "select distinct section, page, trim(regexp_replace(regexp_replace(section, '[*_`]', '', 'g'), '\\s+', ' ', 'g'), ' ') as heading, cast(greatest(coalesce(page, 0) - 1, 0) as integer) as index from chunks where section is not null",
         "st5_stale_runs": f"with {_RUNS} select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as began, count(*) as n, arg_max(event_type, struct_pack(a := ts, b := event_id)) as last_type from r group by user_id, run",
         "st4_retained": f"with {_RUNS}, k as (select user_id, run, max(ts) as last_ts, count(*) as n from r group by 1, 2) select user_id, strftime(last_ts, '%Y-%m-%d %H:%M:%S') as last_ts, n from k where last_ts >= (select max(ts) from events) - interval 1 day",
