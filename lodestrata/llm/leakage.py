@@ -30,6 +30,8 @@ RECALL, MAX_EDITS = 0.95, 3
 FILTER_BITS = 1 << 26
 #: Keys of items, two numbers each, up to which they are broadcast (the bytes are measured, too).
 MAX_KEYS = 500_000
+#: Windows walked at once, so that a step's columns stay in the cache of a core.
+BLOCK_WINDOWS = 8192
 SEED = 20240229
 
 
@@ -50,21 +52,26 @@ def _walk_keys(words: np.ndarray, starts: np.ndarray, repeats: int, bits: int, s
     they share the symbols at randomly drawn places with high probability; equal windows always do.
     """
     keys = np.empty((repeats, len(starts)), dtype=np.int64)
-    mixed = words.astype(np.uint64)
+    padded = np.append(words.astype(np.int64), 0).view(np.uint64)
     for k in range(repeats):
         rng = np.random.default_rng([SEED, size, k])
         sampled = set(rng.choice(steps * size, size=min(bits, steps * size), replace=False).tolist())
         multipliers = rng.integers(1, 1 << 62, size=steps * size, dtype=np.uint64) | np.uint64(1)
-        at = np.zeros(len(starts), dtype=np.int64)
-        key = np.full(len(starts), (SEED + k) * 97 + size, dtype=np.uint64)
-        for j in range(max(sampled) + 1):
-            inside = at < size
-            symbol = np.where(inside, mixed[np.minimum(starts + at, len(words) - 1)], np.uint64(0))
-            if j in sampled:
-                key = (key ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            at += ((symbol * multipliers[j]) >> np.uint64(63)).astype(np.int64) & inside
-        keys[k] = key.view(np.int64)
+        for block in range(0, len(starts), BLOCK_WINDOWS):
+            at = starts[block : block + BLOCK_WINDOWS].astype(np.int64)
+            behind = at + size
+            key = np.full(len(at), (SEED + k) * 97 + size, dtype=np.uint64)
+            for j in range(max(sampled) + 1):
+                symbol = padded.take(at)
+                if j >= size:  # no walk is behind its window before
+                    symbol *= at < behind
+                if j in sampled:
+                    key = (key ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                symbol *= multipliers[j]
+                symbol >>= np.uint64(63)
+                at += symbol.view(np.int64)
+            keys[k, block : block + BLOCK_WINDOWS] = key.view(np.int64)
     return keys
 
 
