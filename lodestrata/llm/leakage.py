@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,27 +76,35 @@ def _walk_keys(words: np.ndarray, starts: np.ndarray, repeats: int, bits: int, s
 
 @lru_cache(maxsize=64)
 def walks_for(recall: float, max_edits: int, size: int, bits: int = NEAR_BITS, steps: int = NEAR_STEPS, trials: int = 2000) -> int:
-    """Walks after which the hardest kind of edits up to max_edits words is found with the wanted recall.
+    """Walks after which each kind of edits up to max_edits words is found with the wanted recall (below 1).
 
-    The chance that one walk gives two windows the same key is measured on drawn windows (trials of each kind and number of
-    edits: replaced; left out with a word behind the window moving in); the walks are independent.
+    Pairs of windows are drawn (trials of each kind and number of edits: replaced, replaced inside, left out with a word behind
+    the window moving in) and walked until the wanted share has met. The share is counted by pairs, for pairs differ: where the
+    first words are replaced, every walk is likely to part, so the mean chance of one walk would promise too much.
     """
+    if not 0 < recall < 1:
+        raise ValueError("recall must lie between 0 and 1")
     rng = np.random.default_rng([SEED, size, max_edits])
-    worst = 1.0
+    needed = 1
     for edits in range(1, max_edits + 1):
-        for kind in ("replaced", "left out") if edits > 1 else ("replaced",):
+        for kind in ("replaced", "inside", "left out") if edits > 1 else ("replaced", "inside"):
             a = rng.integers(1, 1 << 62, size=(trials, 2 * size))
             b = a.copy()
             for row in b:
-                if kind == "replaced":
-                    row[rng.choice(size, edits, replace=False)] = rng.integers(1, 1 << 62, size=edits)
-                else:
+                if kind == "left out":
                     gone = rng.choice(size, edits // 2, replace=False)
                     row[: 2 * size - len(gone)] = np.delete(row, gone)
-            flat = np.concatenate([a.ravel(), b.ravel()])
-            keys = _walk_keys(flat, np.arange(2 * trials) * 2 * size, 16, bits, steps, size)
-            worst = min(worst, float((keys[:, :trials] == keys[:, trials:]).mean()))
-    return math.ceil(math.log(1 - recall) / math.log(1 - max(worst, 1e-6))) if worst < 1 else 1
+                else:
+                    places = np.arange(1, size - 1) if kind == "inside" else size
+                    row[rng.choice(places, edits, replace=False)] = rng.integers(1, 1 << 62, size=edits)
+            flat, starts = np.concatenate([a.ravel(), b.ravel()]), np.arange(2 * trials) * 2 * size
+            walks, found = 16, np.zeros(1)
+            while found[-1] < recall:
+                walks *= 2
+                keys = _walk_keys(flat, starts, walks, bits, steps, size)
+                found = np.maximum.accumulate(keys[:, :trials] == keys[:, trials:], axis=0).mean(axis=1)
+            needed = max(needed, int(np.argmax(found >= recall)) + 1)
+    return needed
 
 
 def _windows(offsets: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
