@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checkpointed, join_checked
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, checkpointed, join_checked, measured
 
 #: Rows of a block of vectors on either side of a search.
 BLOCK_ROWS = 4096
+#: Cells of terms by questions, or of rows by either, up to which they are multiplied as one matrix.
+MATRIX_CELLS = 1 << 22
 #: Constant of reciprocal rank fusion.
 FUSION_K = 60
 
@@ -109,18 +111,71 @@ def idf(posted: DataFrame, n_rows: int) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + (F.lit(float(n_rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def term_search(questions: DataFrame, rows: DataFrame, k: int, rid: str = "point_id", text: str = "text", n_rows: int | None = None) -> DataFrame:
-    """qid, rid, score, rank of the k rows with the greatest sum of tf of question, tf of row and idf (6 digits).
+def term_search(questions: DataFrame, rows: DataFrame, k: int, rid: str = "point_id", text: str = "text", n_rows: int | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """qid, rid, score, rank of the k rows with the greatest sum of tf of question, tf of row and idf (6 digits); rid is filled and unique in rows.
 
-    Only postings of the questions' terms are kept; they meet the questions' terms by a size-checked join.
+    The questions' terms are measured. Up to max_rows rows, BROADCAST_BYTES and MATRIX_CELLS they go to the rows, of which only
+    the numbers of asked terms are written and only k a question and task are shuffled; beyond that postings meet them by joins.
     """
     asked = checkpointed(postings(questions, "qid", "question").toDF("qid", "term", "qtf"))
-    posted = checkpointed(join_checked(postings(rows, rid, text), asked.select("term").distinct(), ["term"], "left_semi", salt_by=rid))
+    n, size = measured(asked)
+    if n <= max_rows and size <= BROADCAST_BYTES:
+        known = asked.toArrow()
+        terms, qids = (pa.array(list(dict.fromkeys(known[c].to_pylist())), known.schema.field(c).type) for c in ("term", "qid"))
+        if len(terms) * len(qids) <= MATRIX_CELLS:
+            return ranked(_by_matrix(known, terms, qids, dict(asked.dtypes)["qid"], rows, k, rid, text, n_rows), "score", rid, k)
+    found = join_checked(rows.select(rid, F.explode(T.terms(F.col(text))).alias("term")), asked.select("term").distinct(), ["term"], "left_semi", salt_by=rid)
+    posted = checkpointed(found.groupBy(rid, "term").agg(F.count(F.lit(1)).alias("tf")))
     weighed = join_checked(asked, idf(posted, rows.count() if n_rows is None else n_rows), ["term"], "inner", salt_by="qid")
     scored = join_checked(posted, weighed, ["term"], "inner", salt_by=rid).groupBy("qid", rid).agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), 6).alias("score"))
     return ranked(scored, "score", rid, k)
 
 
+def _by_matrix(asked: pa.Table, terms: pa.Array, qids: pa.Array, kind: str, rows: DataFrame, k: int, rid: str, text: str, n_rows: int | None) -> DataFrame:
+    """qid (of that kind), rid, score: the k best rows a question and task; asked has qid, term, qtf."""
+    posted = checkpointed(_numbered_terms(rows, terms, rid, text))
+    rare = {r.term: r.idf for r in idf(posted.select(F.explode("terms").alias("term")), posted.count() if n_rows is None else n_rows).collect()}
+    weights = np.zeros((len(terms), len(qids)))
+    at = [pc.index_in(asked[c], value_set=x).to_numpy() for c, x in (("term", terms), ("qid", qids))]
+    weights[at[0], at[1]] = asked["qtf"].to_numpy()
+    weights *= np.array([rare.get(i, 0.0) for i in range(len(terms))])[:, None]
+    step = max(1, MATRIX_CELLS // max(1, *weights.shape))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.empty(0, int), np.empty(0), np.empty(0, object)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                ids, own, tf = batch.slice(start, step).columns
+                counts = np.zeros((len(ids), len(terms)))
+                counts[pc.list_parent_indices(own).to_numpy(), own.flatten().to_numpy()] = tf.flatten().to_numpy()
+                raw = (counts @ weights).T
+                score = np.where(raw != 0, np.round(raw, 6), -np.inf)
+                least = np.partition(score, -k, axis=1)[:, [-k]] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+                row, of = np.nonzero((score >= least) & (raw != 0))
+                found = row, score[row, of], np.asarray(ids.to_pylist(), dtype=object)[of]
+                best = _first_of_rows(*(np.concatenate(x) for x in zip(best, found, strict=True)), k)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(best[0])), pa.array(best[2], ids.type), pa.array(best[1])], names=["qid", rid, "score"])
+
+    return posted.mapInArrow(run, f"qid {kind}, {rid} {dict(rows.dtypes)[rid]}, score double")
+
+
+def _numbered_terms(rows: DataFrame, terms: pa.Array, rid: str, text: str) -> DataFrame:
+    """rid, terms, tf of each row: the places of its terms in the given ones, each once, and how often it stands there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.ascii_split_whitespace(batch.column(1))
+            code, row = (x.to_numpy(zero_copy_only=False) for x in (pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1), pc.list_parent_indices(words)))
+            one, tf = np.unique(row[code >= 0] * len(terms) + code[code >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(one, np.arange(batch.num_rows + 1) * len(terms)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (one % max(1, len(terms)), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[rid, "terms", "tf"])
+
+    plain = F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ")
+    return rows.select(rid, plain.alias("words")).mapInArrow(run, f"{rid} {dict(rows.dtypes)[rid]}, terms array<int>, tf array<int>")
+
+
 def fused(lists: list[DataFrame], rid: str = "point_id", k: int = FUSION_K) -> DataFrame:
     """qid, rid, score, rank: reciprocal ranks summed over lists (8 digits), ties by rid."""
     rows = None
@@ -174,7 +229,7 @@ def packed_context(hits: DataFrame, rows: DataFrame, budget: int, rid: str = "po
 
 def cited(hits: DataFrame, rows: DataFrame, rid: str = "point_id") -> DataFrame:
     """qid, n, label: citations in order of rank, each source and page once."""
-    about = rows.select(rid, "source", "page").join(hits.select(rid).distinct(), rid, "left_semi")
+    about = join_checked(rows.select(rid, "source", "page"), hits.select(rid).distinct(), [rid], "left_semi", salt_by=rid)
     first = hits.join(about, rid).groupBy("qid", "source", "page").agg(F.min("rank").alias("rank"))
     n = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     label: Column = F.concat("source", F.coalesce(F.concat(F.lit(" p."), (F.col("page") + 1).cast("string")), F.lit("")))

@@ -23,8 +23,8 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The stored chunks, once a point_id, written once a query: every step of a query reads the same few columns of them."""
-    return checkpointed(C.latest(table(spark, d, "chunks").select("point_id", "text", "source", "page", "vendor", "content_type", "ingested_at")))
+    """The stored chunks, once a point_id; never written, for their texts take a multiple of the table's bytes: each step of a query reads the columns that it needs."""
+    return C.latest(table(spark, d, "chunks").select("point_id", "text", "source", "page", "vendor", "content_type", "ingested_at"))
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

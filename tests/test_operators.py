@@ -203,3 +203,21 @@ def test_gate_and_winners(spark):
     assert {(r.winner, r.n) for r in evaluation.winners(a, b).collect()} == {("a", 1), ("b", 1)}
     assert evaluation.aggregated(a).first().mean_top == 2.0
     assert {r.metric for r in evaluation.regressions(evaluation.aggregated(b), evaluation.aggregated(a), 0.05).collect()} == {"recall_5"}
+
+
+def test_term_search_by_matrix_and_by_joins(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice(["Alpha", "beta", "x9", "gamma", "δelta-1", "the", "the"]) for _ in range(n))
+    texts = [(f"p{i % 10}{i}", some(rng.randrange(9))) for i in range(400)] + [("none", None), ("blank", " \n"), ("odd", "BETAK;beta")] + [(f"same{i}", "omega omega") for i in range(30)]
+    rows = spark.createDataFrame(texts, "point_id string, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "The beta, the ALPHA?"), (2, "omega"), (3, "unheard of"), (4, None), (5, ""), (6, "x9 gamma 1")], "qid bigint, question string")
+    want = sorted(map(tuple, retrieval.term_search(asked, rows, 7, max_rows=-1).collect()))
+    assert {r[0] for r in want} == {1, 2, 6} and [r[1] for r in want if r[0] == 2] == sorted(f"same{i}" for i in range(30))[:7]
+    assert sorted(map(tuple, retrieval.term_search(asked, rows, 7).collect())) == want
+    monkeypatch.setattr(retrieval, "MATRIX_CELLS", 60)
+    assert sorted(map(tuple, retrieval.term_search(asked, rows, 7).collect())) == want
+    text_qids = asked.withColumn("qid", F.concat("qid", F.lit("|0")))
+    assert sorted((int(r[0].split("|")[0]), *r[1:]) for r in map(tuple, retrieval.term_search(text_qids, rows, 7).collect())) == want
+    assert retrieval.term_search(asked.limit(0), rows, 7).count() == 0 and retrieval.term_search(asked, rows.limit(0), 7).count() == 0
