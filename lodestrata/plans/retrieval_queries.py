@@ -164,7 +164,7 @@ def v12_top_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts of the first hit of each question: page 0 for none, null for what is empty."""
     rows = _chunks(spark, d)
     first = _term_hits(spark, d, rows).where("rank = 1")
-    return first.join(rows, "point_id").select("qid", "source", F.coalesce("page", F.lit(0)).alias("page"), T.normalised(F.col("vendor")).alias("vendor"), F.nullif("content_type", F.lit("")).alias("content_type"), "score")
+    return join_checked(rows.drop("text", "ingested_at"), first, ["point_id"], salt_by="point_id").select("qid", "source", F.coalesce("page", F.lit(0)).alias("page"), T.normalised(F.col("vendor")).alias("vendor"), F.nullif("content_type", F.lit("")).alias("content_type"), "score")
 
 
 def j10_expected_sources(spark: SparkSession, d: str) -> DataFrame:
