@@ -6,6 +6,7 @@ questions or rows results are empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,8 +173,29 @@ def _numbered_terms(rows: DataFrame, terms: pa.Array, rid: str, text: str) -> Da
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (one % max(1, len(terms)), tf)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[rid, "terms", "tf"])
 
-    plain = F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ")
-    return rows.select(rid, plain.alias("words")).mapInArrow(run, f"{rid} {dict(rows.dtypes)[rid]}, terms array<int>, tf array<int>")
+    return _words(rows, rid, text).mapInArrow(run, f"{rid} {dict(rows.dtypes)[rid]}, terms array<int>, tf array<int>")
+
+
+def _words(rows: DataFrame, rid: str, text: str) -> DataFrame:
+    """rid, words: the terms of each row as one string, blanks between them and perhaps around."""
+    return rows.select(rid, F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ").alias("words"))
+
+
+def term_vectors(rows: DataFrame, rid: str = "point_id", text: str = "text", size: int = 32) -> DataFrame:
+    """rid, embedding: functions.text.term_vector of each row that has terms, with one digest a distinct term and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.ascii_split_whitespace(batch.column(1))
+            coded = words.flatten().dictionary_encode()
+            cells = np.array([hashlib.sha256(w.encode()).digest()[0] % size if w else -1 for w in coded.dictionary.to_pylist()], dtype=int)[coded.indices.to_numpy()]
+            at = (pc.list_parent_indices(words).to_numpy() * size + cells)[cells >= 0]
+            counts = np.bincount(at, minlength=batch.num_rows * size).reshape(-1, size).astype(float)
+            kept = np.flatnonzero(counts.any(axis=1))
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * size, pa.int32()), pa.array(counts[kept].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), vectors], names=[rid, "embedding"])
+
+    return _words(rows, rid, text).mapInArrow(run, f"{rid} {dict(rows.dtypes)[rid]}, embedding array<double>")
 
 
 def fused(lists: list[DataFrame], rid: str = "point_id", k: int = FUSION_K) -> DataFrame:

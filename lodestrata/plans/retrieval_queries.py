@@ -45,9 +45,7 @@ def _hash_hits(spark: SparkSession, d: str, k: int = K) -> DataFrame:
 
 def _dense_hits(spark: SparkSession, d: str, rows: DataFrame, k: int = K) -> DataFrame:
     """Hits by vectors of hashed terms of questions and texts."""
-    some = lambda c: F.size(T.terms(F.col(c))) > 0
-    q = _questions(spark, d).where(some("question")).select("qid", T.term_vector(F.col("question")).alias("embedding"))
-    return checkpointed(R.nearest(q, rows.where(some("text")).select("point_id", T.term_vector(F.col("text")).alias("embedding")), k, rid="point_id"))
+    return checkpointed(R.nearest(R.term_vectors(_questions(spark, d), "qid", "question"), R.term_vectors(rows), k, rid="point_id"))
 
 
 def t1_vector_topk(spark: SparkSession, d: str) -> DataFrame:

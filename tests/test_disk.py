@@ -29,7 +29,7 @@ def tables(spark, tmp_path_factory):
     return str(at), sum(len(r[1]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["r14_citations", "r5_text_and_images", "v12_top_facts"])
+@pytest.mark.parametrize("name", ["r14_citations", "r5_text_and_images", "v12_top_facts", "r2_hybrid"])
 def test_texts_are_not_written(spark, tables, name):
     at, size = tables
     checkpointed(spark.range(1))

@@ -221,3 +221,11 @@ def test_term_search_by_matrix_and_by_joins(spark, monkeypatch):
     text_qids = asked.withColumn("qid", F.concat("qid", F.lit("|0")))
     assert sorted((int(r[0].split("|")[0]), *r[1:]) for r in map(tuple, retrieval.term_search(text_qids, rows, 7).collect())) == want
     assert retrieval.term_search(asked.limit(0), rows, 7).count() == 0 and retrieval.term_search(asked, rows.limit(0), 7).count() == 0
+
+
+def test_term_vectors_like_the_column(spark):
+    texts = [("a", "One two, TWO; three-3"), ("b", None), ("c", ""), ("d", " ?! "), ("e", "é x1" * 40), ("f", "9")]
+    rows = spark.createDataFrame(texts, "point_id string, text string")
+    got = {r.point_id: r.embedding for r in retrieval.term_vectors(rows).collect()}
+    assert got == {r.point_id: r.v for r in rows.select("point_id", T.term_vector(F.col("text")).alias("v")).collect() if r.v and any(r.v)}
+    assert set(got) == {"a", "e", "f"} and retrieval.term_vectors(rows.limit(0)).count() == 0
