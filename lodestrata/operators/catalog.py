@@ -10,22 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import before, join_checked, numbered
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, before, checkpointed, join_checked, measured, numbered
 
 
-def latest(chunks: DataFrame) -> DataFrame:
+def latest(chunks: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Keyed upsert: of rows stored under one point_id the one stored last stays (then the greatest text).
 
-    Ids stored again are found from the key column alone; only their rows are shuffled with all columns, the others stay
-    where they are.
+    Ids stored again are found from the key column alone. Up to max_rows and BROADCAST_BYTES of them only their rows are
+    shuffled with all columns, the others stay where they are; beyond that all rows are shuffled, each once.
     """
     rest = [c for c in chunks.columns if c != "point_id"]
     rows = chunks.where("point_id is not null")
-    again = rows.groupBy("point_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("point_id", F.lit(True).alias("_again"))
-    marked = join_checked(rows, again, ["point_id"], "left", salt_by="point_id")
+    again = checkpointed(rows.groupBy("point_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("point_id", F.lit(True).alias("_again")))
     newest = F.max_by(F.struct(*rest), F.struct(F.coalesce("ingested_at", F.lit("")), F.coalesce("text", F.lit(""))))
-    one = marked.where("_again").groupBy("point_id").agg(newest.alias("r")).select("point_id", *[F.col(f"r.{c}") for c in rest])
-    return marked.where("_again is null").select("point_id", *rest).unionByName(one)
+    one = lambda stored: stored.groupBy("point_id").agg(newest.alias("r")).select("point_id", *[F.col(f"r.{c}") for c in rest])
+    n, size = measured(again)
+    if n > max_rows or size > BROADCAST_BYTES:
+        return one(rows)
+    marked = rows.join(F.broadcast(again), ["point_id"], "left")
+    return marked.where("_again is null").select("point_id", *rest).unionByName(one(marked.where("_again")))
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, key: str = "point_id") -> DataFrame:

@@ -118,23 +118,38 @@ def term_search(questions: DataFrame, rows: DataFrame, k: int, rid: str = "point
     The questions' terms are measured. Up to max_rows rows, BROADCAST_BYTES and MATRIX_CELLS they go to the rows, of which only
     the numbers of asked terms are written and only k a question and task are shuffled; beyond that postings meet them by joins.
     """
+    return _searches(questions, rows, [], [F.lit(True)], k, rid, text, n_rows, max_rows)[0]
+
+
+def term_searches(questions: DataFrame, rows: DataFrame, kind: str, kinds: list[str], k: int, rid: str = "point_id", text: str = "text", max_rows: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """term_search among the rows of each of the kinds apart (values of the column kind), whose texts are read once for all of them."""
+    return _searches(questions, rows.where(F.col(kind).isin(kinds)), [kind], [F.col(kind) == x for x in kinds], k, rid, text, None, max_rows)
+
+
+def _searches(questions: DataFrame, rows: DataFrame, kept: list[str], parts: list[Column], k: int, rid: str, text: str, n_rows: int | None, max_rows: int) -> list[DataFrame]:
+    """term_search in each part of rows, a condition on the columns kept."""
     asked = checkpointed(postings(questions, "qid", "question").toDF("qid", "term", "qtf"))
     n, size = measured(asked)
     if n <= max_rows and size <= BROADCAST_BYTES:
         known = asked.toArrow()
         terms, qids = (pa.array(list(dict.fromkeys(known[c].to_pylist())), known.schema.field(c).type) for c in ("term", "qid"))
         if len(terms) * len(qids) <= MATRIX_CELLS:
-            return ranked(_by_matrix(known, terms, qids, dict(asked.dtypes)["qid"], rows, k, rid, text, n_rows), "score", rid, k)
-    found = join_checked(rows.select(rid, F.explode(T.terms(F.col(text))).alias("term")), asked.select("term").distinct(), ["term"], "left_semi", salt_by=rid)
-    posted = checkpointed(found.groupBy(rid, "term").agg(F.count(F.lit(1)).alias("tf")))
-    weighed = join_checked(asked, idf(posted, rows.count() if n_rows is None else n_rows), ["term"], "inner", salt_by="qid")
-    scored = join_checked(posted, weighed, ["term"], "inner", salt_by=rid).groupBy("qid", rid).agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), 6).alias("score"))
-    return ranked(scored, "score", rid, k)
-
-
-def _by_matrix(asked: pa.Table, terms: pa.Array, qids: pa.Array, kind: str, rows: DataFrame, k: int, rid: str, text: str, n_rows: int | None) -> DataFrame:
-    """qid (of that kind), rid, score: the k best rows a question and task; asked has qid, term, qtf."""
-    posted = checkpointed(_numbered_terms(rows, terms, rid, text))
+            posted = checkpointed(_numbered_terms(rows, terms, rid, text, kept))
+            return [ranked(_by_matrix(known, terms, qids, dict(asked.dtypes)["qid"], posted.where(x).select(rid, "terms", "tf"), k, rid, n_rows), "score", rid, k) for x in parts]
+    found = join_checked(rows.select(rid, *kept, F.explode(T.terms(F.col(text))).alias("term")), asked.select("term").distinct(), ["term"], "left_semi", salt_by=rid)
+    posted = checkpointed(found.groupBy(rid, *kept, "term").agg(F.count(F.lit(1)).alias("tf")))
+    sizes = rows.agg(*[F.count_if(x) for x in parts]).first() if n_rows is None else [n_rows] * len(parts)
+    out = []
+    for x, size in zip(parts, sizes, strict=True):
+        own = posted.where(x).select(rid, "term", "tf")
+        weighed = join_checked(asked, idf(own, size), ["term"], "inner", salt_by="qid")
+        scored = join_checked(own, weighed, ["term"], "inner", salt_by=rid).groupBy("qid", rid).agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), 6).alias("score"))
+        out.append(ranked(scored, "score", rid, k))
+    return out
+
+
+def _by_matrix(asked: pa.Table, terms: pa.Array, qids: pa.Array, kind: str, posted: DataFrame, k: int, rid: str, n_rows: int | None) -> DataFrame:
+    """qid (of that kind), rid, score: the k best rows a question and task; asked has qid, term, qtf, posted rid, terms, tf (see _numbered_terms)."""
     rare = {r.term: r.idf for r in idf(posted.select(F.explode("terms").alias("term")), posted.count() if n_rows is None else n_rows).collect()}
     weights = np.zeros((len(terms), len(qids)))
     at = [pc.index_in(asked[c], value_set=x).to_numpy() for c, x in (("term", terms), ("qid", qids))]
@@ -158,11 +173,11 @@ def _by_matrix(asked: pa.Table, terms: pa.Array, qids: pa.Array, kind: str, rows
         if len(best[0]):
             yield pa.RecordBatch.from_arrays([qids.take(pa.array(best[0])), pa.array(best[2], ids.type), pa.array(best[1])], names=["qid", rid, "score"])
 
-    return posted.mapInArrow(run, f"qid {kind}, {rid} {dict(rows.dtypes)[rid]}, score double")
+    return posted.mapInArrow(run, f"qid {kind}, {rid} {dict(posted.dtypes)[rid]}, score double")
 
 
-def _numbered_terms(rows: DataFrame, terms: pa.Array, rid: str, text: str) -> DataFrame:
-    """rid, terms, tf of each row: the places of its terms in the given ones, each once, and how often it stands there."""
+def _numbered_terms(rows: DataFrame, terms: pa.Array, rid: str, text: str, kept: list[str]) -> DataFrame:
+    """rid, terms, tf and the columns kept of each row: the places of its terms in the given ones, each once, and how often it stands there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,14 +186,15 @@ def _numbered_terms(rows: DataFrame, terms: pa.Array, rid: str, text: str) -> Da
             one, tf = np.unique(row[code >= 0] * len(terms) + code[code >= 0], return_counts=True)
             ends = pa.array(np.searchsorted(one, np.arange(batch.num_rows + 1) * len(terms)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (one % max(1, len(terms)), tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[rid, "terms", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *batch.columns[2:]], names=[rid, "terms", "tf", *kept])
 
-    return _words(rows, rid, text).mapInArrow(run, f"{rid} {dict(rows.dtypes)[rid]}, terms array<int>, tf array<int>")
+    kinds = dict(rows.dtypes)
+    return _words(rows, rid, text, kept).mapInArrow(run, ", ".join([f"{rid} {kinds[rid]}, terms array<int>, tf array<int>", *[f"{c} {kinds[c]}" for c in kept]]))
 
 
-def _words(rows: DataFrame, rid: str, text: str) -> DataFrame:
-    """rid, words: the terms of each row as one string, blanks between them and perhaps around."""
-    return rows.select(rid, F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ").alias("words"))
+def _words(rows: DataFrame, rid: str, text: str, kept: list[str] | None = None) -> DataFrame:
+    """rid, words and the columns kept: the terms of each row as one string, blanks between them and perhaps around."""
+    return rows.select(rid, F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ").alias("words"), *(kept or []))
 
 
 def term_vectors(rows: DataFrame, rid: str = "point_id", text: str = "text", size: int = 32) -> DataFrame:

@@ -108,8 +108,7 @@ def r4_supplements(spark: SparkSession, d: str) -> DataFrame:
 
 def r5_text_and_images(spark: SparkSession, d: str) -> DataFrame:
     """Text and caption hits fused; a question with hits of one kind keeps these."""
-    rows, q = _chunks(spark, d), _questions(spark, d)
-    texts, images = (checkpointed(R.term_search(q, rows.where(F.col("content_type") == kind), K)) for kind in ("text", "image_caption"))
+    texts, images = map(checkpointed, R.term_searches(_questions(spark, d), _chunks(spark, d), "content_type", ["text", "image_caption"], K))
     return R.merged_kinds(texts, images, 10)
 
 

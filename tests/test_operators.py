@@ -223,6 +223,27 @@ def test_term_search_by_matrix_and_by_joins(spark, monkeypatch):
     assert retrieval.term_search(asked.limit(0), rows, 7).count() == 0 and retrieval.term_search(asked, rows.limit(0), 7).count() == 0
 
 
+def test_term_searches_like_one_search_a_kind(spark):
+    texts = [(f"p{i:03}", (["one two", "two", "one one three", None, ""])[i % 5], ("a", "b", "c", None)[i % 4]) for i in range(100)]
+    rows = spark.createDataFrame(texts, "point_id string, text string, kind string").repartition(3)
+    asked = spark.createDataFrame([(1, "one"), (2, "two three"), (3, "four"), (4, None)], "qid bigint, question string")
+    want = [sorted(map(tuple, retrieval.term_search(asked, rows.where(F.col("kind") == x), 4).collect())) for x in ("b", "a", "none")]
+    assert want[0] and want[1] and want[0] != want[1] and not want[2]
+    for most in (1000, -1):
+        got = retrieval.term_searches(asked, rows, "kind", ["b", "a", "none"], 4, max_rows=most)
+        assert [sorted(map(tuple, x.collect())) for x in got] == want
+
+
+def test_latest_of_many_ids_stored_again(spark):
+    stored = [(str(i % 40), f"t{i % 7}" if i % 11 else None, f"2025-{i % 3}" if i % 5 else None, i % 7) for i in range(97)] + [(None, "x", "2026", 1), ("alone", None, None, None)]
+    df = spark.createDataFrame(stored, "point_id string, text string, ingested_at string, page int")
+    rows = lambda most: sorted((r.point_id, r.ingested_at or "", r.text or "") for r in catalog.latest(df, most).collect())
+    best = {}
+    for i, text, at, _ in stored:
+        if i is not None:
+            best[i] = max(best.get(i, ("", "")), (at or "", text or ""))
+    assert rows(0) == rows(1000) == sorted((i, *x) for i, x in best.items())
+
 def test_term_vectors_like_the_column(spark):
     texts = [("a", "One two, TWO; three-3"), ("b", None), ("c", ""), ("d", " ?! "), ("e", "é x1" * 40), ("f", "9")]
     rows = spark.createDataFrame(texts, "point_id string, text string")
